@@ -97,4 +97,4 @@ def top_k(df: DataFrame, keys: Iterable[str], order: Iterable[Column], k: int, r
     """At most ``k`` rows per key.  Spark cuts each task's input to ``k`` rows per key before the shuffle."""
     name = rank or "_rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
-    return out if rank else out.drop(name)
+    return out.withColumn(name, F.col(name).cast("bigint")) if rank else out.drop(name)

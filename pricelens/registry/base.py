@@ -141,9 +141,9 @@ SELECT DISTINCT 'c' || o || '-' || p_type AS category_id, CAST(o AS BIGINT) AS o
 cte("runs", """
 SELECT o_orderkey AS run_id, CAST(CASE WHEN o_custkey % 5 < 3 THEN 0 ELSE 1 END AS BIGINT) AS org_id, o_custkey % 5 AS store_id,
   CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status,
-  o_orderdate + INTERVAL 1 MINUTE AS started_at,
-  CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 4 <> 0 THEN o_orderdate + to_minutes(o_orderkey % 30 + 2) END AS finished_at,
-  o_orderkey % 20 + 1 AS products_total, o_orderdate AS created_at
+  o_orderdate + INTERVAL 95 DAY + INTERVAL 1 MINUTE AS started_at,
+  CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 4 <> 0 THEN o_orderdate + INTERVAL 95 DAY + to_minutes(o_orderkey % 30 + 2) END AS finished_at,
+  o_orderkey % 20 + 1 AS products_total, o_orderdate + INTERVAL 95 DAY AS created_at
 FROM orders""")
 cte("organizations", "SELECT DISTINCT org_id, 'ORG_' || org_id AS name FROM stores")
 cte("memberships", """
@@ -160,7 +160,7 @@ SELECT s_suppkey AS rule_id, CAST(CASE WHEN s_suppkey % 5 < 3 THEN 0 ELSE 1 END
 FROM supplier""")
 cte("notifications", """
 SELECT o_orderkey AS notification_id, o_custkey % 2 AS org_id, o_orderkey % 100 AS rule_id, o_custkey AS user_id, 'Notice ' || o_orderpriority AS title,
-  CASE WHEN o_orderstatus = 'O' THEN o_orderdate + INTERVAL 1 DAY END AS read_at, o_orderdate AS created_at
+  CASE WHEN o_orderstatus = 'O' THEN o_orderdate + INTERVAL 95 DAY + INTERVAL 1 DAY END AS read_at, o_orderdate + INTERVAL 95 DAY AS created_at
 FROM orders""")
 cte("provider_checks", """
 SELECT event_id AS check_id, user_id % 2 AS org_id, user_id AS shipment_id,
@@ -180,7 +180,7 @@ SELECT o_orderkey AS id, o_custkey % 2 AS org_id, CASE WHEN o_orderkey % 3 = 0 T
   ['queued','running','succeeded','partial','failed','cancelled','dead_letter'][o_orderkey % 7 + 1] AS status,
   CASE WHEN o_orderkey % 5 <> 0 THEN 'shipment:' || o_custkey END AS dedupe_key,
   CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_custkey % 500 AS VARCHAR) END AS payload_shipment,
-  o_orderdate + to_hours(o_orderkey % 48) AS scheduled_at, o_orderdate AS created_at
+  o_orderdate + INTERVAL 95 DAY + to_hours(o_orderkey % 48) AS scheduled_at, o_orderdate + INTERVAL 95 DAY AS created_at
 FROM orders""")
 cte("selector_versions", """
 SELECT p_partkey AS version_id, p_partkey % 5 AS store_id,
@@ -198,8 +198,8 @@ SELECT c_custkey AS export_id, c_custkey % 2 AS org_id, ['snapshots_csv','produc
   ['ready','failed','queued'][c_custkey % 3 + 1] AS status, (SELECT as_of FROM clock) - to_days(CAST(c_custkey % 60 AS INTEGER)) AS created_at FROM customer""")
 cte("discovery_runs", """
 SELECT o_orderkey AS run_id, CAST(CASE WHEN o_custkey % 5 < 3 THEN 0 ELSE 1 END AS BIGINT) AS org_id, o_custkey % 5 AS store_id,
-  CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status, o_orderdate AS started_at,
-  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + to_minutes(o_orderkey % 90) END AS finished_at
+  CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status, o_orderdate + INTERVAL 95 DAY AS started_at,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 95 DAY + to_minutes(o_orderkey % 90) END AS finished_at
 FROM orders WHERE o_orderpriority = '1-URGENT'""")
 cte("discovery_products", """
 SELECT listing_id AS product_id, part_id AS run_id, store_id, url, 'https://store' || store_id || '.example/p/' || part_id AS normalized_url, title,

@@ -111,7 +111,7 @@ def _(t):
 @query("d16_monitoring_health", f"""
 WITH r AS (SELECT org_id, count(*) FILTER (WHERE created_at >= {FROM_}) AS total_runs, count(*) FILTER (WHERE created_at >= {FROM_} AND status IN ('success','partial')) AS ok_runs,
   count(*) FILTER (WHERE created_at >= {DAY_AGO} AND status = 'failed') AS failed_runs_24h,
-  {R(f"avg(epoch_ms(finished_at) - epoch_ms(started_at)) FILTER (WHERE created_at >= {FROM_})", 0)} AS avg_duration_ms, max(created_at) AS last_run
+  {R(f"coalesce(avg(epoch_ms(finished_at) - epoch_ms(started_at)) FILTER (WHERE created_at >= {FROM_}), 0)", 0)} AS avg_duration_ms, max(created_at) AS last_run
   FROM runs WHERE store_id IN (SELECT store_id FROM active_stores) GROUP BY 1),
 d AS (SELECT org_id, max(started_at) AS last_discovery FROM discovery_runs WHERE store_id IN (SELECT store_id FROM active_stores) GROUP BY 1),
 l AS (SELECT org_id, count(*) FILTER (WHERE selector_failure_count > 0) AS broken_selectors, count(*) FILTER (WHERE active AND last_scraped_at < {DAY_AGO}) AS stale_products

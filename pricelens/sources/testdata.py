@@ -35,6 +35,11 @@ def _org(store):
     return F.when(store < 3, 0).otherwise(1).cast("bigint")
 
 
+def _ordered_at():
+    """Order date moved so that the newest order meets the newest observation."""
+    return F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 95 DAYS")
+
+
 def stores(t, raw) -> DataFrame:
     ids = raw("supplier").select((F.col("s_suppkey") % 5).alias("store_id")).distinct()
     s = F.col("store_id")
@@ -170,7 +175,7 @@ def categories(t, raw) -> DataFrame:
 
 def runs(t, raw) -> DataFrame:
     k, store = F.col("o_orderkey"), F.col("o_custkey") % 5
-    created = F.col("o_orderdate").cast("timestamp")
+    created = _ordered_at()
     total = (k % 20 + 1).cast("int")
     ok = F.when(F.col("o_orderstatus") == "F", total).when(F.col("o_orderstatus") == "O", F.ceil(total / 2).cast("int")).otherwise(0)
     return raw("orders").select(
@@ -226,7 +231,7 @@ def alert_rules(t, raw) -> DataFrame:
 
 
 def notifications(t, raw) -> DataFrame:
-    k, created = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    k, created = F.col("o_orderkey"), _ordered_at()
     return raw("orders").select(
         k.alias("notification_id"), (F.col("o_custkey") % 2).alias("org_id"), (k % 100).alias("rule_id"),
         F.col("o_custkey").alias("user_id"), F.concat(F.lit("Notice "), F.col("o_orderpriority")).alias("title"),
@@ -277,7 +282,7 @@ def shipments(t, raw) -> DataFrame:
 
 
 def work_items(t, raw) -> DataFrame:
-    k, created = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    k, created = F.col("o_orderkey"), _ordered_at()
     prio = (
         F.when(F.col("o_orderpriority").startswith("1"), "critical").when(F.col("o_orderpriority").startswith("2"), "high")
         .when(F.col("o_orderpriority").startswith("5"), "low").otherwise("normal")
@@ -340,7 +345,7 @@ def exports(t, raw) -> DataFrame:
 def discovery_runs(t, raw) -> DataFrame:
     k, store = F.col("o_orderkey"), F.col("o_custkey") % 5
     r = raw("orders").where(F.col("o_orderpriority") == "1-URGENT")
-    created = F.col("o_orderdate").cast("timestamp")
+    created = _ordered_at()
     return r.select(
         k.alias("run_id"), _org(store).alias("org_id"), store.alias("store_id"),
         F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "partial").otherwise("failed").alias("status"),
