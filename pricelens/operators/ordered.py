@@ -40,6 +40,20 @@ def hot_key_slices(sizes: DataFrame, key: str, ts: str, hot_rows: int) -> DataFr
     )
 
 
+def slice_hot_keys(df: DataFrame, hot: DataFrame, key: str, ts: str) -> DataFrame:
+    """Add the window partition ``_part`` (key and time slice) and the flags the carry-over needs."""
+    micros = F.unix_micros(F.col(ts))
+    position = F.floor((micros - F.col("_lo")) / F.col("_span") * F.col("_slices")).cast("int")
+    sliced = (
+        df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+        .withColumn("_slice", F.coalesce(F.greatest(F.lit(0), F.least(position, F.col("_slices") - 1)), F.lit(0)))
+        .withColumn("_hot", F.col("_slices").isNotNull())
+        .drop("_hot_key", "_lo", "_span", "_slices")
+    )
+    # a struct key: the exchange below must not be skipped because of an earlier one on ``key`` alone
+    return sliced.withColumn("_part", F.struct(F.col(key).alias("k"), F.col("_slice").alias("s")))
+
+
 def with_previous(
     df: DataFrame,
     values: Mapping[str, str],
@@ -57,16 +71,7 @@ def with_previous(
     ts = order[0]
     hot_rows = hot_rows or hot_rows_setting(df)
     hot = hot_key_slices(df if sizes is None else sizes, key, ts, hot_rows)
-    micros = F.unix_micros(F.col(ts))
-    position = F.floor((micros - F.col("_lo")) / F.col("_span") * F.col("_slices")).cast("int")
-    sliced = (
-        df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-        .withColumn("_slice", F.coalesce(F.greatest(F.lit(0), F.least(position, F.col("_slices") - 1)), F.lit(0)))
-        .withColumn("_hot", F.col("_slices").isNotNull())
-        .drop("_hot_key", "_lo", "_span", "_slices")
-    )
-    # a struct key: the exchange below must not be skipped because of an earlier one on ``key`` alone
-    sliced = sliced.withColumn("_part", F.struct(F.col(key).alias("k"), F.col("_slice").alias("s")))
+    sliced = slice_hot_keys(df, hot, key, ts)
     within = Window.partitionBy("_part").orderBy(*order)
     seq = sliced.withColumn("_first", F.row_number().over(within) == 1)
     for new, source in values.items():
@@ -85,6 +90,34 @@ def with_previous(
     return out.drop("_k", "_s", "_carry", "_first", "_slice", "_hot", "_part")
 
 
+def carry_forward(
+    df: DataFrame,
+    source: str,
+    new: str,
+    key: str = "listing_id",
+    order: Iterable[str] = SNAPSHOT_ORDER,
+    sizes: DataFrame | None = None,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """Add the last non-null ``source`` strictly before each row (as-of lookup), with hot keys cut into slices."""
+    order = list(order)
+    hot_rows = hot_rows or hot_rows_setting(df)
+    hot = hot_key_slices(df if sizes is None else sizes, key, order[0], hot_rows)
+    sliced = slice_hot_keys(df, hot, key, order[0])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seq = sliced.withColumn(new, F.last(source, ignorenulls=True).over(within))
+    known = F.col(source).isNotNull()
+    tails = (
+        sliced.where("_hot")
+        .groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_s"))
+        .agg(F.max_by(F.when(known, F.col(source)), F.when(known, F.struct(*order))).alias("_tail"))
+    )
+    chain = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("_k", "_s", F.last("_tail", ignorenulls=True).over(chain).alias("_carry"))
+    out = seq.join(F.broadcast(carried), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    return out.withColumn(new, F.coalesce(new, "_carry")).drop("_k", "_s", "_carry", "_slice", "_hot", "_part")
+
+
 def latest_per_key(df: DataFrame, keys: Iterable[str], cols: Iterable[str], order: Iterable[str] = SNAPSHOT_ORDER) -> DataFrame:
     """Newest row per key by partial aggregation: no sort, and hot keys shrink before the shuffle."""
     keys, cols, order = list(keys), [c for c in cols], list(order)

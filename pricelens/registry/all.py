@@ -3,3 +3,4 @@
 from . import analytics  # noqa: F401
 from . import dashboard  # noqa: F401,E402
 from . import products  # noqa: F401,E402
+from . import matching  # noqa: F401,E402

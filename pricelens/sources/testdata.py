@@ -408,6 +408,14 @@ def product_pages(t, raw) -> DataFrame:
     return product_page_html(t.listings)
 
 
+def tracking_source(t, raw) -> DataFrame:
+    return raw("documents").select("doc_id", "text")
+
+
+def parts(t, raw) -> DataFrame:
+    return raw("part")
+
+
 def tracking_pages(t, raw) -> DataFrame:
     """Every document with a tracking status appended, as a carrier page would show it."""
     k = F.col("doc_id")
@@ -430,6 +438,6 @@ _BUILDERS = {
     for f in (
         stores, snapshots, listings, my_products, matches, categories, runs, organizations, memberships, profiles, alert_rules,
         notifications, pages, provider_checks, shipments, work_items, settings, selector_versions, repair_attempts,
-        manual_sessions, exports, discovery_runs, discovery_products, discovery_pages, discovery_logs, discovery_categories, product_pages, tracking_pages,
+        manual_sessions, exports, discovery_runs, discovery_products, discovery_pages, discovery_logs, discovery_categories, product_pages, tracking_pages, tracking_source, parts,
     )
 }
