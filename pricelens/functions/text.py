@@ -25,6 +25,14 @@ MOTOR_HINTS = [
 BRAKE_HINTS = ["shimano deore", "shimano xt", "sram code", "magura mt", "tektro"]
 FRAME_HINTS = ["carbon", "aluminium", "aluminum", "alu", "steel", "stahl"]
 
+# word boundary that only knows ASCII word characters, whatever the regex engine's default
+WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    return pattern.replace(r"\b", WORD_EDGE)
+
+
 # fixed patterns of the specification reader
 YEAR = r"\b(20[0-3]\d)\b"
 BATTERY = r"(?i)\b(\d{3,4})\s?wh\b"
@@ -117,7 +125,7 @@ def first_hint(lower: Column, hints: list[str]) -> Column:
 
 def grab(c: Column, pattern: str, group: int = 1) -> Column:
     """First match or null (an empty match counts as none)."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(c, ascii_edges(pattern), group), F.lit(""))
 
 
 def specs(title, brand=None, extra=None) -> Column:
@@ -126,7 +134,7 @@ def specs(title, brand=None, extra=None) -> Column:
     lower = F.lower(text)
     battery, wheel, frame = grab(text, BATTERY), grab(text, WHEEL), first_hint(lower, FRAME_HINTS)
     bike = (
-        F.when(text.rlike(r"(?i)\be-?mtb\b|mountain"), "e-mtb")
+        F.when(text.rlike(ascii_edges(r"(?i)\be-?mtb\b|mountain")), "e-mtb")
         .when(text.rlike(r"(?i)trekking|city|urban"), "trekking")
         .when(text.rlike(r"(?i)gravel"), "gravel")
         .when(text.rlike(r"(?i)road|rennrad"), "road")

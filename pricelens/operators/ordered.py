@@ -92,30 +92,35 @@ def with_previous(
 
 def carry_forward(
     df: DataFrame,
-    source: str,
-    new: str,
+    values: Mapping[str, str],
     key: str = "listing_id",
     order: Iterable[str] = SNAPSHOT_ORDER,
     sizes: DataFrame | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Add the last non-null ``source`` strictly before each row (as-of lookup), with hot keys cut into slices."""
+    """Add ``{new: source}`` with the last non-null source strictly before each row (as-of lookup).
+
+    Hot keys are cut into slices like in ``with_previous``.
+    """
     order = list(order)
     hot_rows = hot_rows or hot_rows_setting(df)
     hot = hot_key_slices(df if sizes is None else sizes, key, order[0], hot_rows)
-    sliced = slice_hot_keys(df, hot, key, order[0])
+    seq = sliced = slice_hot_keys(df, hot, key, order[0])
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seq = sliced.withColumn(new, F.last(source, ignorenulls=True).over(within))
-    known = F.col(source).isNotNull()
+    for new, source in values.items():
+        seq = seq.withColumn(new, F.last(source, ignorenulls=True).over(within))
+    known = lambda c, then: F.when(F.col(c).isNotNull(), then)
     tails = (
         sliced.where("_hot")
         .groupBy(F.col(key).alias("_k"), F.col("_slice").alias("_s"))
-        .agg(F.max_by(F.when(known, F.col(source)), F.when(known, F.struct(*order))).alias("_tail"))
+        .agg(*[F.max_by(known(s, F.col(s)), known(s, F.struct(*order))).alias(f"_t_{n}") for n, s in values.items()])
     )
     chain = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select("_k", "_s", F.last("_tail", ignorenulls=True).over(chain).alias("_carry"))
+    carried = tails.select("_k", "_s", *[F.last(f"_t_{n}", ignorenulls=True).over(chain).alias(f"_c_{n}") for n in values])
     out = seq.join(F.broadcast(carried), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
-    return out.withColumn(new, F.coalesce(new, "_carry")).drop("_k", "_s", "_carry", "_slice", "_hot", "_part")
+    for new in values:
+        out = out.withColumn(new, F.coalesce(new, f"_c_{new}"))
+    return out.drop("_k", "_s", "_slice", "_hot", "_part", *[f"_c_{n}" for n in values])
 
 
 def latest_per_key(df: DataFrame, keys: Iterable[str], cols: Iterable[str], order: Iterable[str] = SNAPSHOT_ORDER) -> DataFrame:

@@ -241,7 +241,7 @@ def prior_ok(t: Tables) -> DataFrame:
     from ..operators.ordered import carry_forward
 
     s = t.snapshots.withColumn("ok_row", F.when(F.col("status") == "ok", F.struct("scraped_at", "price", "availability")))
-    c = carry_forward(s, "ok_row", "prior", sizes=t.snapshots.select("listing_id", "scraped_at"))
+    c = carry_forward(s, {"prior": "ok_row"}, sizes=t.snapshots.select("listing_id", "scraped_at"))
     return c.where(F.col("status") != "ok").select(
         "snapshot_id", "listing_id", "scraped_at", "status", F.col("prior.scraped_at").alias("prior_at"), S.dbl("prior.price").alias("prior_price"), F.col("prior.availability").alias("prior_availability"))
 

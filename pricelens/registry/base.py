@@ -62,6 +62,8 @@ def oracle(sql: str) -> str:
     if not order:
         return body
     head = ",\n".join(f"{n} AS (\n{CTES[n]}\n)" for n in order)
+    if re.match(r"(?i)with\s+recursive\b", body):
+        return f"WITH RECURSIVE {head},\n{re.split(r'(?i)with\s+recursive', body, maxsplit=1)[1].lstrip()}"
     if re.match(r"(?i)with\b", body):
         return f"WITH {head},\n{body[4:].lstrip()}"
     return f"WITH {head}\n{body}"

@@ -150,7 +150,7 @@ SELECT org_id, product_id, store_id, listing_id, position, CAST(CASE WHEN gm THE
   CASE WHEN gm THEN 'gtin' WHEN sm THEN 'sku' WHEN bm AND sim >= 0.35 THEN 'brand_model' ELSE 'title_similarity' END AS method FROM rk"""
 
 
-@query("j05_cross_store_candidates")
+@query("j05_cross_store_candidates", CAND)
 def _(t):
     return M.cross_store_candidates(t)
 
