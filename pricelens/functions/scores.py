@@ -10,6 +10,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``.
+
+    Repeating a costly expression in a plan repeats its work; a one-element transform binds it to a variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dbl(c: Column | str) -> Column:
     return col(c).cast("double")
 

@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import col
+from .scores import col, let
 
 # fixed list: words that carry no product identity
 STOP_WORDS = [
@@ -183,14 +183,18 @@ def parse_price(c, regex: str | None = None) -> Column:
         hit = F.coalesce(grab(raw, regex, 1), grab(raw, regex, 0))
     else:
         hit = grab(raw, regex, 0)
-    hit = F.trim(hit)
+    return let(F.trim(hit), _number)
+
+
+def _number(hit: Column) -> Column:
     comma = F.length(hit) - F.instr(F.reverse(hit), ",")
     dot = F.length(hit) - F.instr(F.reverse(hit), ".")
     has_comma, has_dot = F.contains(hit, F.lit(",")), F.contains(hit, F.lit("."))
     bare = F.regexp_replace(hit, r"\s", "")
     comma_last = F.regexp_replace(F.replace(bare, F.lit("."), F.lit("")), r"^([^,]*),", "$1.")
     number = F.when(has_comma & (~has_dot | (comma > dot)), comma_last).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    return F.expr("1").cast("double") * F.when(number.rlike(r"^(\d+\.?\d*|\.\d+)$"), number).try_cast("double")
+    # two separators of the same kind at the end do not form a number
+    return number.try_cast("double")
 
 
 def detect_currency(c) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import col
+from .scores import col, let
 from .text import grab
 
 # fixed list: parameters that only serve tracking
@@ -67,54 +69,67 @@ def remove_dots(p: Column) -> Column:
 
 def resolve(url, base) -> Column:
     """Absolute http(s) URL of a reference found on a page at ``base``; null if it is no such URL."""
-    u, b = F.trim(col(url)), F.trim(col(base))
-    no_frag = F.regexp_replace(u, r"#.*$", "")
-    directory = F.regexp_replace(path(b), r"[^/]*$", "")
-    ref_path, ref_query = F.regexp_extract(no_frag, r"^([^?]*)", 1), F.regexp_extract(no_frag, r"(\?.*)$", 1)
-    absolute = (
-        F.when(u.rlike(r"(?i)^https?://[^/?#\s]+"), u)
-        .when(u.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
-        .when(u.startswith("//"), F.concat(scheme(b), F.lit(":"), u))
-        .when(u.startswith("/"), F.concat(origin(b), u))
-        .when(u.startswith("?"), F.concat(origin(b), path(b), u))
-        .when((u == "") | u.startswith("#"), F.concat(origin(b), path(b), F.regexp_extract(b, HTTP_URL, 4)))
-        .otherwise(F.concat(origin(b), directory, ref_path, ref_query))
-    )
-    ok = absolute.rlike(r"(?i)^https?://[^/?#\s]+")
-    clean_path = F.replace(remove_dots(path(absolute)), F.lit(" "), F.lit("%20"))
-    return F.when(ok, F.concat(origin(absolute), clean_path, F.regexp_extract(absolute, HTTP_URL, 4)))
+    def join(b):
+        root = let(b, lambda x: F.struct(x.alias("b"), origin(x).alias("o"), scheme(x).alias("s"), path(x).alias("p")))
+        return let(F.struct(F.trim(col(url)).alias("u"), root.alias("r")), against)
+
+    def against(x):
+        u, r = x["u"], x["r"]
+        bare = F.regexp_replace(u, r"#.*$", "")
+        relative = F.concat(r["o"], F.regexp_replace(r["p"], r"[^/]*$", ""), bare)
+        absolute = (
+            F.when(u.rlike(r"(?i)^https?://[^/?#\s]+"), u)
+            .when(u.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
+            .when(u.startswith("//"), F.concat(r["s"], F.lit(":"), u))
+            .when(u.startswith("/"), F.concat(r["o"], u))
+            .when(u.startswith("?"), F.concat(r["o"], r["p"], u))
+            .when((u == "") | u.startswith("#"), F.concat(r["o"], r["p"], F.regexp_extract(r["b"], HTTP_URL, 4)))
+            .otherwise(relative)
+        )
+        return let(absolute, tidy)
+
+    def tidy(a):
+        ok = a.rlike(r"(?i)^https?://[^/?#\s]+")
+        clean_path = F.replace(let(path(a), remove_dots), F.lit(" "), F.lit("%20"))
+        return F.when(ok, F.concat(origin(a), clean_path, F.regexp_extract(a, HTTP_URL, 4)))
+
+    return join(F.trim(col(base)))
 
 
 def normalise_url(url, base, root=None, allow_hosts: list[str] | None = None, include: list[str] | None = None,
                   exclude: list[str] | None = None, allow_search: bool = False) -> Column:
     """Canonical form of a link, or null when it should not be followed."""
     u = F.trim(col(url))
-    root = col(base) if root is None else col(root)
-    full = resolve(u, base)
-    p = path(full)
-    ok = full.isNotNull() & (u != "") & ~u.rlike(r"(?i)^(?:mailto|tel|javascript|data):") & ~p.rlike(BINARY)
-    same = hostname(full) == hostname(root)
-    if allow_hosts:
-        same = same | hostname(full).isin([h.split("://")[-1].split("/")[0].lower() for h in allow_hosts])
-    ok = ok & same
-    if not allow_search:
-        ok = ok & ~p.rlike(BLOCKED_PATH)
-    for word in exclude or []:
-        ok = ok & ~F.contains(full, F.lit(word))
-    if include:
-        hit = F.lit(False)
-        for word in include:
-            hit = hit | F.contains(full, F.lit(word))
-        ok = ok & hit
-    pairs = F.filter(F.split(query(full), "&"), lambda kv: kv != "")
+    root_host = hostname(col(base) if root is None else col(root))
+    allowed = [h.split("://")[-1].split("/")[0].lower() for h in allow_hosts or []]
+    any_of = lambda full, words: reduce(lambda a, w: a | F.contains(full, F.lit(w)), words, F.lit(False))
+
+    def checked(full):
+        return let(F.struct(full.alias("f"), path(full).alias("p"), hostname(full).alias("h"), origin(full).alias("o")), build)
+
+    def build(x):
+        full, p = x["f"], x["p"]
+        ok = full.isNotNull() & ~p.rlike(BINARY) & ((x["h"] == root_host) | x["h"].isin(allowed) if allowed else x["h"] == root_host)
+        if not allow_search:
+            ok = ok & ~p.rlike(BLOCKED_PATH)
+        if exclude:
+            ok = ok & ~any_of(full, exclude)
+        if include:
+            ok = ok & any_of(full, include)
+        clean = F.regexp_replace(F.regexp_replace(p, r"/{2,}", "/"), r"(?<=.)/$", "")
+        return F.when(ok, F.concat(x["o"], clean, let(query(full), clean_query)))
+
+    usable = (u != "") & ~u.rlike(r"(?i)^(?:mailto|tel|javascript|data):")
+    return F.when(usable, let(resolve(u, base), checked))
+
+
+def clean_query(q: Column) -> Column:
+    """Parameters without tracking ones, sorted by name, each pair once."""
+    pairs = F.filter(F.split(q, "&"), lambda kv: (kv != "") & ~F.lower(F.substring_index(kv, "=", 1)).isin(TRACKING_PARAMS))
     pairs = F.transform(pairs, lambda kv: F.when(F.contains(kv, F.lit("=")), kv).otherwise(F.concat(kv, F.lit("="))))
-    pairs = F.filter(pairs, lambda kv: ~F.lower(F.substring_index(kv, "=", 1)).isin(TRACKING_PARAMS))
     keyed = F.transform(pairs, lambda kv, i: F.struct(F.substring_index(kv, "=", 1).alias("k"), i.alias("i"), kv.alias("kv")))
     kept = F.array_distinct(F.transform(F.array_sort(keyed), lambda x: x["kv"]))
-    q = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
-    clean = F.regexp_replace(p, r"/{2,}", "/")
-    clean = F.when(F.length(clean) > 1, F.regexp_replace(clean, r"/$", "")).otherwise(clean)
-    return F.when(ok, F.concat(origin(full), clean, q))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
 
 
 def is_category_url(url) -> Column:

@@ -5,3 +5,4 @@ from . import dashboard  # noqa: F401,E402
 from . import products  # noqa: F401,E402
 from . import matching  # noqa: F401,E402
 from . import operations  # noqa: F401,E402
+from . import data  # noqa: F401,E402
