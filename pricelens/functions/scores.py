@@ -18,6 +18,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df, keep: list, **cols: Column):
+    """Columns worked out exactly once per row.
+
+    They leave through a generator, so no later filter or projection can pull copies of them below it.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def dbl(c: Column | str) -> Column:
     return col(c).cast("double")
 

@@ -67,6 +67,12 @@ def remove_dots(p: Column) -> Column:
     return F.when(needs_dots, F.concat(F.array_join(kept, "/"), trailing)).otherwise(p)
 
 
+def escape_rest(text: Column) -> Column:
+    """Percent-encode blanks and characters outside ASCII; everything else stays."""
+    one = lambda ch: F.when(ch.rlike(r"[^\x21-\x7e]"), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch)
+    return F.when(text.rlike(r"[^\x21-\x7e]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+
+
 def resolve(url, base) -> Column:
     """Absolute http(s) URL of a reference found on a page at ``base``; null if it is no such URL."""
     def join(b):
@@ -90,8 +96,8 @@ def resolve(url, base) -> Column:
 
     def tidy(a):
         ok = a.rlike(r"(?i)^https?://[^/?#\s]+")
-        clean_path = F.replace(let(path(a), remove_dots), F.lit(" "), F.lit("%20"))
-        return F.when(ok, F.concat(origin(a), clean_path, F.regexp_extract(a, HTTP_URL, 4)))
+        rest = F.concat(let(path(a), remove_dots), F.regexp_extract(a, HTTP_URL, 4))
+        return F.when(ok, F.concat(origin(a), let(rest, escape_rest)))
 
     return join(F.trim(col(base)))
 

@@ -87,12 +87,14 @@ def sitemap_urls(xml: DataFrame, robots: DataFrame) -> DataFrame:
     """
     def locs(tag):
         return F.regexp_extract_all("xml", F.lit(rf"(?s)<{tag}>(?:(?!</{tag}>).)*?<loc>\s*([^<]*?)\s*</loc>"), 1)
-    unescaped = lambda c: F.replace(F.trim(c), F.lit("&amp;"), F.lit("&"))
-    urls = xml.select("root_url", F.explode(locs("url")).alias("loc")).withColumn("url", U.normalise_url(unescaped(F.col("loc")), F.col("root_url")))
-    urls = urls.where(F.col("url").isNotNull() & (U.is_category_url("url") | U.is_product_url("url"))).select("root_url", "url", F.lit("page").alias("kind"))
-    maps = xml.select("root_url", F.explode(locs("sitemap")).alias("loc")).withColumn("url", U.normalise_url(unescaped(F.col("loc")), F.col("root_url")))
+    def clean(tag, keep):
+        # inside the array, so that every location is normalised once and not again in a pushed-down filter
+        full = F.transform(locs(tag), lambda x: U.normalise_url(F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")), F.col("root_url")))
+        return F.explode(F.filter(full, lambda u: u.isNotNull() & keep(u)))
+    urls = xml.select("root_url", clean("url", lambda u: U.is_category_url(u) | U.is_product_url(u)).alias("url")).select("root_url", "url", F.lit("page").alias("kind"))
+    maps = xml.select("root_url", clean("sitemap", lambda u: F.lit(True)).alias("url"))
     lines = robots.select("root_url", F.explode(F.regexp_extract_all("text", F.lit(r"(?im)^\s*Sitemap:\s*(\S+)"), 1)).alias("url"))
-    seeds = maps.where(F.col("url").isNotNull()).select("root_url", "url", F.lit("sitemap").alias("kind")).unionByName(lines.select("root_url", "url", F.lit("sitemap").alias("kind")))
+    seeds = maps.select("root_url", "url", F.lit("sitemap").alias("kind")).unionByName(lines.select("root_url", "url", F.lit("sitemap").alias("kind")))
     return urls.unionByName(seeds).distinct()
 
 
