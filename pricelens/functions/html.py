@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scores import col
+from .scores import col, let
 from .text import grab
 
 LD_JSON = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
@@ -51,7 +51,7 @@ def meta(html, name: str) -> Column:
     """``content`` of a meta tag with that property or name."""
     n = re.escape(name)
     tag = first_tag(html, rf"(?is)<meta\b[^>]*\b(?:property|name)\s*=\s*[\"']{n}[\"'][^>]*>")
-    return unescape(attribute(tag, "content"))
+    return let(tag, lambda x: unescape(attribute(x, "content")))
 
 
 def body(html) -> Column:

@@ -167,7 +167,7 @@ def _(t):
 
 
 @query("k18_pagination_links", """
-SELECT page_id, position, CASE position WHEN 1 THEN url || '?page=2' WHEN 2 THEN 'https://store' || store_id || '.example/shop/x' ELSE 'https://store' || store_id || '.example/p/' || (part_id + position - 2) END AS to_url
+SELECT page_id, CAST(position AS BIGINT) AS position, CASE position WHEN 1 THEN url || '?page=2' WHEN 2 THEN 'https://store' || store_id || '.example/shop/x' ELSE 'https://store' || store_id || '.example/p/' || (part_id + position - 2) END AS to_url
 FROM pp, (VALUES (1), (2), (3), (4), (5)) x(position)""")
 def _(t):
     return PG.pagination(t.product_pages)
@@ -191,7 +191,7 @@ def _(t):
 
 @query("k21_scrape_profile", f"""
 WITH p AS (SELECT regexp_extract(origin, '^https?://(.*)$', 1) AS host, regexp_matches(html, '(?i)cloudflare|cf-chl|akamai|perimeterx|datadome|hcaptcha|g-recaptcha|recaptcha|bot protection|just a moment') OR regexp_matches(html, '{LOOSE}') OR length(html) < 1024 AS b,
-  length(trim(regexp_replace({UNESC.format(x="regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))) < 600 AS js FROM page_hosts),
+  length(trim(regexp_replace({UNESC.format(x="regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body>(.*?)(?:</body>|$)', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))) < 600 AS js FROM page_hosts),
 g AS (SELECT host, count(*) AS pages, bool_or(b) AS b, bool_or(js) AS js FROM p GROUP BY 1)
 SELECT host, pages, CASE WHEN js THEN 'high' ELSE 'low' END AS crawl_difficulty, CASE WHEN b THEN 'high' ELSE 'low' END AS anti_bot_risk, CASE WHEN js THEN 'low' ELSE 'medium' END AS stability,
   CAST(CASE WHEN b THEN 10 WHEN js THEN 7 ELSE 5 END AS BIGINT) AS delay_seconds, CASE WHEN NOT b AND NOT js THEN 'balanced' ELSE 'safe' END AS crawl_preset FROM g""")
@@ -210,7 +210,7 @@ def _(t):
 
 
 @query("k23_clean_html", """
-WITH c AS (SELECT page_id, length(html) AS original_chars, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g'), '\\s+', ' ', 'g'), '>\\s+<', '><', 'g')) AS cleaned FROM pages)
+WITH c AS (SELECT page_id, length(html) AS original_chars, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body>(.*?)(?:</body>|$)', 1), '(?s)<!--.*?-->', '', 'g'), '\\s+', ' ', 'g'), '>\\s+<', '><', 'g')) AS cleaned FROM pages)
 SELECT page_id, original_chars, cleaned, sha256(cleaned) AS hash, length(cleaned) AS cleaned_chars FROM c""")
 def _(t):
     c = PG.clean_html(t.pages)

@@ -11,7 +11,7 @@ from pricelens.session import get_spark
 from tests.compare import compare
 
 if __name__ == "__main__":
-    sf, wanted = sys.argv[1], sys.argv[2:]
+    sf, wanted = sys.argv[1], [a for a in sys.argv[2:] if a != "-v"]
     spark = get_spark("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     good = 0
@@ -25,7 +25,7 @@ if __name__ == "__main__":
             problem = f"{type(err).__name__}: {str(err)[:700]}"
         took = time.time() - start
         good += problem is None
-        if problem or took > 6:
+        if problem or took > 6 or "-v" in sys.argv:
             print(f"{'ok ' if problem is None else 'BAD'} {name} {took:.1f}s {problem or ''}", flush=True)
     print("good", good, "of", len([n for n in base.REGISTRY if not wanted or any(n.startswith(w) for w in wanted)]))
     spark.stop()
