@@ -7,3 +7,4 @@ from . import matching  # noqa: F401,E402
 from . import operations  # noqa: F401,E402
 from . import data  # noqa: F401,E402
 from . import pages  # noqa: F401,E402
+from . import streams  # noqa: F401,E402

@@ -24,6 +24,7 @@ def bound(spark: SparkSession, sf_dir: str) -> Tables:
         newest = raw("lineitem").agg(F.max("l_shipdate").cast("timestamp").alias("m"))
         _AS_OF[key] = newest.select((F.col("m") + F.expr("INTERVAL 1 DAY")).alias("a")).first()["a"]
     tables = Tables(spark, lambda name: _BUILDERS[name](tables, raw), _AS_OF[key])
+    tables.source_dir = sf_dir
     return tables
 
 
