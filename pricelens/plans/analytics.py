@@ -193,26 +193,38 @@ def kpi_deltas(t: Tables, f: Filters) -> DataFrame:
     return kpis.join(spark_line, "org_id", "left")
 
 
+def listing_measures(seq: DataFrame) -> DataFrame:
+    """Plain sums and counts per listing of a sequenced scope, ready to be added up to any level."""
+    order = F.struct("scraped_at", "snapshot_id", "listing_id")
+    priced = F.when(F.col("price").isNotNull(), F.struct(order.alias("at"), F.col("price").alias("price")))
+    stock = [n_if(changed("availability", "previous_availability")).alias("stock_changes")] if "previous_availability" in seq.columns else []
+    return seq.groupBy("org_id", "store_id", "listing_id").agg(
+        F.count(F.lit(1)).alias("n"), n_if(F.col("availability") == "in_stock").alias("in_stock"), F.sum("price").alias("price_sum"), F.count("price").alias("priced"),
+        F.min("price").alias("lo"), F.max("price").alias("hi"), F.sum(discount0()).alias("discount_sum"), n_if(changed()).alias("changes"), n_if(dropped()).alias("drops"), n_if(raised()).alias("raises"),
+        F.sum("confidence").alias("conf_sum"), F.count("confidence").alias("conf_n"), n_if(F.col("status") == "ok").alias("ok"), F.max("scraped_at").alias("last_seen"),
+        F.min(priced).alias("first_seen"), F.max(priced).alias("latest_seen"), *stock,
+    )
+
+
+def rolled_measures() -> list:
+    return [
+        S.rnd(S.dbl(F.sum("price_sum")) / F.sum("priced"), 2).alias("avg_price"), S.dbl(F.min("lo")).alias("min_price"), S.dbl(F.max("hi")).alias("max_price"),
+        S.rnd(F.sum("discount_sum") / F.sum("n"), 2).alias("avg_discount"), F.sum("changes").alias("price_changes"), F.sum("drops").alias("price_drops"), F.sum("raises").alias("price_increases"),
+    ]
+
+
 def competitor_analytics(t: Tables, f: Filters, k: int | None = 100) -> DataFrame:
     low = f.period(t.as_of).date_from
-    seq = sequenced(t, snapshot_scope(t, f, low), low, availability=True)
-    stats = seq.groupBy("org_id", "store_id").agg(
-        F.count_distinct("listing_id").alias("monitored_products"),
-        F.count_distinct(F.when(F.col("availability") == "in_stock", F.col("listing_id"))).alias("in_stock"),
-        S.mean("price").alias("avg_price"),
-        S.median("price").alias("median_price"),
-        S.rnd(F.avg(discount0()), 2).alias("avg_discount"),
-        S.dbl(F.min("price")).alias("min_price"),
-        S.dbl(F.max("price")).alias("max_price"),
-        n_if(changed()).alias("price_changes"),
-        n_if(dropped()).alias("price_drops"),
-        n_if(raised()).alias("price_increases"),
-        n_if(changed("availability", "previous_availability")).alias("stock_changes"),
-        S.rnd(S.dbl(F.sum("confidence")) / F.count("confidence"), 3).alias("avg_confidence"),
-        n_if(F.col("status") == "ok").alias("ok_count"),
-        F.count(F.lit(1)).alias("total_count"),
-        F.max("scraped_at").alias("last_seen"),
+    scoped = snapshot_scope(t, f, low)
+    per = listing_measures(sequenced(t, scoped, low, availability=True))
+    stats = per.groupBy("org_id", "store_id").agg(
+        F.count(F.lit(1)).alias("monitored_products"), n_if(F.col("in_stock") > 0).alias("in_stock"), *rolled_measures(),
+        F.sum("stock_changes").alias("stock_changes"), S.rnd(S.dbl(F.sum("conf_sum")) / F.sum("conf_n"), 3).alias("avg_confidence"),
+        F.sum("ok").alias("ok_count"), F.sum("n").alias("total_count"), F.max("last_seen").alias("last_seen"),
     )
+    # the exact median needs every price; on its own it does not weigh on the other measures' shuffle
+    medians = scoped.groupBy("org_id", "store_id").agg(S.median("price").alias("median_price"))
+    stats = stats.join(medians, ["org_id", "store_id"])
     failed = between(t.runs, "created_at", low).where(F.col("status") == "failed").groupBy("store_id").agg(
         F.count(F.lit(1)).alias("failed_scrapes"),
         F.max(F.coalesce("finished_at", "started_at", "created_at")).alias("last_failed"),
@@ -247,29 +259,25 @@ def category_first_last(t: Tables, f: Filters) -> DataFrame:
 
 def category_analytics(t: Tables, f: Filters, k: int | None = 100) -> DataFrame:
     low = f.period(t.as_of).date_from
-    seq = sequenced(t, snapshot_scope(t, f, low), low)
     from .scope import listing_dims, listing_predicates
 
     dims = listing_dims(t)
     for p in listing_predicates(f, t):
         dims = dims.where(p)
     dims = dims.select("listing_id", "product_id", "category_id", F.coalesce("category_name", F.lit("Uncategorized")).alias("category"))
-    order = F.struct("scraped_at", "snapshot_id", "listing_id")
-    priced = F.col("price").isNotNull()
-    stats = seq.join(dims, "listing_id").groupBy("org_id", "category_id", "category").agg(
-        F.count_distinct(entity_key()).alias("products_count"),
-        F.count_distinct("store_id").alias("competitors_count"),
-        F.count_distinct("listing_id").alias("total_stock"),
-        F.count_distinct(F.when(F.col("availability") == "in_stock", F.col("listing_id"))).alias("in_stock"),
-        S.mean("price").alias("avg_price"),
-        S.median("price").alias("median_price"),
-        S.dbl(F.min("price")).alias("min_price"),
-        S.dbl(F.max("price")).alias("max_price"),
-        S.rnd(F.avg(discount0()), 2).alias("avg_discount"),
-        n_if(changed()).alias("price_changes"),
-        S.dbl(F.min_by(F.when(priced, F.col("price")), F.when(priced, order))).alias("first_price"),
-        S.dbl(F.max_by(F.when(priced, F.col("price")), F.when(priced, order))).alias("last_price"),
+    scoped = snapshot_scope(t, f, low)
+    key = ["org_id", "category_id", "category"]
+    # observations shrink to one row per listing before they meet the dimensions
+    per = listing_measures(sequenced(t, scoped, low)).join(dims, "listing_id")
+    stats = per.groupBy(*key).agg(
+        F.count_distinct(entity_key()).alias("products_count"), F.count_distinct("store_id").alias("competitors_count"),
+        F.count_distinct("listing_id").alias("total_stock"), F.count_distinct(F.when(F.col("in_stock") > 0, F.col("listing_id"))).alias("in_stock"),
+        *rolled_measures(), S.dbl(F.min("first_seen")["price"]).alias("first_price"), S.dbl(F.max("latest_seen")["price"]).alias("last_price"),
     )
+    prices = scoped.where(F.col("price").isNotNull()).select("org_id", "listing_id", "price").join(dims.select("listing_id", "category_id", "category"), "listing_id")
+    medians = prices.groupBy(*key).agg(S.median("price").alias("median_price"))
+    same = lambda c: stats[c].eqNullSafe(medians[c])
+    stats = stats.join(medians, same("org_id") & same("category_id") & same("category"), "left").select(*[stats[c] for c in stats.columns], "median_price")
     out = stats.select(
         "org_id", "category_id", "category", "products_count", "competitors_count", "avg_price", "median_price", "min_price", "max_price",
         F.coalesce("avg_discount", F.lit(0.0)).alias("avg_discount"), S.stock_ratio("in_stock", "total_stock").alias("stock_ratio"),
