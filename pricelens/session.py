@@ -10,6 +10,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # exact medians keep one price map per group; the default of 128 groups sends them to a sort
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
 }
 
 
