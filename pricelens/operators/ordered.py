@@ -124,7 +124,10 @@ def carry_forward(
 
 
 def latest_per_key(df: DataFrame, keys: Iterable[str], cols: Iterable[str], order: Iterable[str] = SNAPSHOT_ORDER) -> DataFrame:
-    """Newest row per key by partial aggregation: no sort, and hot keys shrink before the shuffle."""
+    """Newest row per key by partial aggregation: every task combines its rows, so hot keys shrink before the shuffle.
+
+    Struct buffers make Spark sort within the task; that sort is local and can spill.
+    """
     keys, cols, order = list(keys), [c for c in cols], list(order)
     rest = [c for c in cols if c not in keys]
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
