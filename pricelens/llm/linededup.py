@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower
+from .common import WHITE, ascii_lower, settled
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -37,6 +37,8 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
         "doc_id", "_t", "_p", F.xxhash64("_k").alias("_a"), F.xxhash64(F.lit(1), "_k").alias("_b"))
     shared = seen.where("doc_id is not null").select("_a", "_b", "doc_id").distinct().groupBy("_a", "_b").agg(
         F.count("doc_id").alias("_n"), F.max("doc_id").alias("_keeper")).where(F.col("_n") >= min_docs)
+    # settled, so that the exchange stands right below the join and Spark can split a line that a third of the documents have
+    shared = settled(shared)
     drop = seen.join(shared, ["_a", "_b"]).where("doc_id is null or doc_id < _keeper").groupBy(
         F.col("doc_id").alias("_d"), F.col("_t").alias("_dt")).agg(F.sort_array(F.collect_set("_p")).alias("_drop"))
     both = base.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")

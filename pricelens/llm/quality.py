@@ -18,7 +18,7 @@ from .common import settled
 SYMBOLS = "#*$%&|<>"
 #: Dimensions of the statistic vector, and the least standard deviation that each is given: a statistic that is zero in
 #: most clean documents would else reject every document in which it isn't.
-DIMS = {"word_length": 0.06, "symbols": 0.6, "dup_lines": 1.0, "repeats": 1.0, "upper": 0.4, "digits": 0.8}
+DIMS = {"word_length": 0.06, "symbols": 0.5, "dup_lines": 1.0, "repeats": 1.0, "upper": 0.4, "digits": 0.8}
 P = len(DIMS)
 #: Share of the rows that the estimates rest on; concentration steps; rows below which a source is pooled with its language's others.
 H, STEPS, LEAST_ROWS = 0.75, 5, 200
