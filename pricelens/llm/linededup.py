@@ -16,8 +16,9 @@ def _without(lines: Column, drop: Column) -> Column:
     return F.concat(F.flatten(runs), F.slice(lines, last + 2, F.size(lines) - last - 1))
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped): each document without the lines that at least ``min_docs`` documents share.
+def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                      carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped, and the columns named in ``carry``): each document without the lines that at least ``min_docs`` documents share.
 
     A line's key is the line, ASCII white space stripped, A-Z lower-cased; keys of fewer than ``min_chars`` code points
     never match. A shared key keeps its lines in the largest doc_id that holds it, all of them, and loses them elsewhere.
@@ -29,7 +30,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
     Repeated rows: the same id counts once; every row comes back with its own text. Empty table: empty result. Other
     columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry or [])])
     base = base.withColumn("_t", F.xxhash64("text"))
     lines = base.select("doc_id", "_t", F.posexplode(F.split("text", "\n", -1)).alias("_p", "_line"))
     keyed = lines.where(F.char_length("_line") >= min_chars).withColumn("_k", ascii_lower(F.btrim("_line", F.lit(WHITE))))
@@ -47,4 +48,5 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
         "doc_id",
         F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_without(parts, F.col("_drop")), "\n")).alias("text"),
         F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])
