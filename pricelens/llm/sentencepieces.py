@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Runs of SPACE with the text up to the next run; no piece of the model crosses from text to SPACE.
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Segments remembered per task; when full the memory starts anew, which changes no result.
 REMEMBERED = 500_000
 #: Segments of more characters aren't remembered.
@@ -39,11 +37,16 @@ class Encoder:
         self.rank = {self.pieces[i]: (-sp.get_score(i), i) for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.rank):
             raise ValueError("pieces with a blank after text aren't covered")
+        # a boundary that lies in no piece is never merged over, so what stands between two such boundaries is encoded alone
+        ends = "".join(c for c in "\n\t" if not any(c in p for p in self.rank))
+        self.pattern = re.compile(rf"{SPACE}*[^{SPACE}{ends}]+|{SPACE}+" + (f"|[{ends}]+" if ends else ""))
         self.words = ahocorasick.Automaton()
         for p in self.rank:
             self.words.add_word(p, len(p))
         self.words.make_automaton()
+        self.number = {p: i for p, (_, i) in self.rank.items()}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.shorter: dict[str, str] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.text = [(bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else p.replace(SPACE, " ").encode())
                      for i, p in enumerate(self.pieces)]
@@ -58,64 +61,54 @@ class Encoder:
             parts[best[1]: best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
     def compatible(self, left: str, right: str) -> bool:
-        """Whether the merges leave the two pieces as they are, side by side."""
-        key = (left, right)
-        if (ok := self.fits.get(key)) is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            ok = self.fits[key] = self.merged(left + right) == [left, right]
+        """Whether the merges leave the two pieces as they are, side by side; after nothing, whether they make the piece at all."""
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        ok = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return ok
 
-    def lengths(self, text: str) -> list[list[int]]:
-        """For each position the lengths of the pieces that begin there, longest first; a character outside the vocabulary stands alone."""
-        out: list[list[int]] = [[] for _ in text]
-        for end, n in self.words.iter(text):
-            out[end - n + 1].append(n)
-        for x in out:
-            x.sort(reverse=True)
-            if 1 not in x:
-                x.append(1)
-        return out
+    def next_shorter(self, piece: str) -> str:
+        """The longest piece that begins this one and is shorter; a single character counts as one, before it there is none."""
+        n = len(piece) - 1
+        while n > 1 and piece[:n] not in self.rank:
+            n -= 1
+        shorter = self.shorter[piece] = piece[:n]
+        return shorter
 
     def split(self, text: str) -> list[str]:
         """The pieces of a segment. Longest match first; a piece that doesn't fit the one before gives way to the next
         shorter, and when none is left the position has failed: its bit is set, it is never tried again, and the piece that led there is taken back."""
-        at, n = self.lengths(text), len(text)
-        failed = bytearray(n // 8 + 1)
-        path: list[str] = []
-        tried = [0]  # per piece on the path, and one more: which of the lengths comes next
-        pos = 0
-        while pos < n:
-            for k in range(tried[-1], len(at[pos])):
-                end = pos + at[pos][k]
-                piece = text[pos:end]
-                if failed[end >> 3] >> (end & 7) & 1 or not (self.compatible(path[-1], piece) if path else self.whole(piece)):
-                    continue
-                tried[-1] = k + 1
-                tried.append(0)
+        longest = {end - n + 1: n for end, n in self.words.iter(text)}  # matches come by their ends, so the longest is the last of each beginning
+        n, pos, failed, last, path = len(text), 0, 0, "", []
+        fits, shorter = self.fits, self.shorter
+        piece = text[: longest.get(0, 1)]
+        while True:
+            while piece:
+                if not failed >> pos + len(piece) & 1 and ((ok := fits.get((last, piece))) or ok is None and self.compatible(last, piece)):
+                    break
+                piece = piece[:0] if len(piece) == 1 else shorter.get(piece) or self.next_shorter(piece)
+            if piece:
                 path.append(piece)
-                pos = end
-                break
-            else:
-                if not path:
-                    raise AssertionError(f"no encoding of {text!r}")
-                failed[pos >> 3] |= 1 << (pos & 7)
-                tried.pop()
-                pos -= len(path.pop())
-        return path
-
-    def whole(self, piece: str) -> bool:
-        key = (piece, "")
-        if (ok := self.fits.get(key)) is None:
-            ok = self.fits[key] = self.merged(piece) == [piece]
-        return ok
+                pos += len(piece)
+                if pos == n:
+                    return path
+                last, piece = piece, text[pos: pos + longest.get(pos, 1)]
+                continue
+            if not path:
+                raise AssertionError(f"no encoding of {text!r}")
+            failed |= 1 << pos
+            taken = path.pop()
+            pos -= len(taken)
+            last = path[-1] if path else ""
+            piece = "" if len(taken) == 1 else shorter.get(taken) or self.next_shorter(taken)
 
     def segment(self, text: str) -> tuple[int, ...]:
+        """The ids of one segment, remembered."""
         if (ids := self.known.get(text)) is None:
             out: list[int] = []
             for p in self.split(text):
-                if p in self.rank:
-                    out.append(self.rank[p][1])
+                if (i := self.number.get(p)) is not None:
+                    out.append(i)
                 elif self.bytes:
                     out.extend(self.bytes[b] for b in p.encode())
                 else:
@@ -128,7 +121,7 @@ class Encoder:
         return ids
 
     def segments(self, text: str) -> list[str]:
-        return _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
         parts = self.segments(text)
@@ -155,8 +148,8 @@ def loaded(model_file: str) -> Encoder:
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded): every whole text's ids and what they decode to.
 
-    The text gets a leading blank, blanks become U+2581, and since no piece runs from text into a blank, each blank run with
-    the word after it is encoded alone. Within it Aho-Corasick finds the pieces at every position; the encoding is the one
+    The text gets a leading blank, blanks become U+2581, and the text is cut where no piece of the model reaches across: before
+    blanks, and around line ends and tabs. Within each segment Aho-Corasick finds the pieces at every position; the encoding is the one
     whose neighbours are all compatible, found by backtracking with a bitfield of failed positions. A bounded memory holds
     the segments met before. Memory is that of one text and its ids.
 
