@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: render(turns, generation_prompt) -> text; a turn is (role, text). Nothing else is known about a template.
 Template = Callable[[list[tuple[str, str]], bool], str]
 
+#: A character that no template's own marks begin with.
+PROBE = "\x02"
+
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -46,9 +49,10 @@ def spans(turns: list[tuple[str, str]], render: Template) -> tuple[str, list[tup
     """The whole text, (start, end, content start, content end) of each turn, and the first turn whose rendering changes what came before (-1: none).
 
     Prefix k is rendered and compared with prefix k - 1: where the shorter is a prefix of the longer, the turn is what was
-    added. The content is found by rendering the turn once more with an empty text: what both renderings share at their
-    end is the turn's trailer, what they share at their beginning its header. An assistant's header must also agree with
-    the generation prompt if the template has one. A template that rewrites history gets no spans from that turn on.
+    added. The content is found by two more renderings of the turn, with no text and with a probe character: what they
+    share at their beginning is the turn's header, what follows it in the empty one its trailer. A turn whose own rendering
+    lacks these (a template that trims or moves text) counts as content in whole. A template that rewrites history gets
+    no spans from that turn on.
     """
     before, out = render([], False), []
     for k, (role, text) in enumerate(turns):
@@ -56,15 +60,9 @@ def spans(turns: list[tuple[str, str]], render: Template) -> tuple[str, list[tup
         if not now.startswith(before):
             return render(turns, False), out, k
         empty = render([*turns[:k], (role, "")], False)
-        head = _common(now, empty)
-        tail = min(_common(now[::-1], empty[::-1]), len(empty) - len(before), len(now) - len(before))
-        if role == "assistant":
-            prompt = render(turns[:k], True)
-            head = len(prompt) if now.startswith(prompt) and empty.startswith(prompt) else head
-        # a text that begins like the trailer (or ends like the header) must not move the boundary
-        head = min(head, len(empty) - tail) if text else len(now) - tail
+        head = _common(empty, render([*turns[:k], (role, PROBE)], False))
         tail = len(empty) - head
-        if tail < 0 or now[len(now) - tail:] != empty[head:]:
+        if head < len(before) or len(now) < len(empty) or not now.startswith(empty[:head]) or not now.endswith(empty[head:]):
             head, tail = len(before), 0
         out.append((len(before), len(now), head, len(now) - tail))
         before = now

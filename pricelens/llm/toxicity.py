@@ -130,8 +130,8 @@ class Landmarks:
                     values[r[begin]] = np.add.reduceat(self.weights[at[hit]] * total[hit, None].astype(np.float32), begin, axis=0)
                 values /= norm[:, None]
                 own = np.array([k for k, _ in some])
-                if len(words) == len(some) or n < WINDOW:  # one part a word
-                    out[own] = values
+                if (own[1:] > own[:-1]).all():  # one part a word
+                    out[own] = np.maximum(out[own], values)
                 else:
                     np.maximum.at(out, own, values)
         return out**POWER
