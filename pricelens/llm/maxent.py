@@ -30,6 +30,8 @@ PAIR_ROWS, WORD_ROWS = 1 << 13, 1 << 13
 ROUNDS, RATE = 6, 0.35
 #: Tokens handled at a time, and distinct words a task holds before it hands on its counts.
 CHUNK, HELD = 1 << 18, 500_000
+#: Statistics that a task takes for one gradient.
+STATISTICS = 2_000_000
 #: Parts in which gradients are summed.
 BLOCKS = 64
 #: The token that ends a text; no word is empty.
@@ -179,9 +181,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The KNOWN most frequent words (ties by the word) come to the driver, with the sums; the end is always of the head."""
+    """The KNOWN most frequent words (ties by the word) come to the driver, with the sums; the end is always of the head.
+
+    How many words there are by sixteenths of the count's logarithm tells from which count on these are; only words from there on
+    are sorted, so a task sends what may be chosen and not its own KNOWN best."""
+    size = F.floor(F.log2("n") * 16)
     sums = counts.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("n") == 1, 1)).alias("once")).first()
-    top = [(bytes(r["tok"]), r["n"]) for r in counts.orderBy(F.desc("n"), "tok").limit(KNOWN).collect()]
+    least, seen = 0, 0
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["size"]):  # at most 1,008 rows
+        least, seen = r["size"], seen + r["words"]
+        if seen >= KNOWN:
+            break
+    top = [(bytes(r["tok"]), r["n"]) for r in counts.where(size >= least).orderBy(F.desc("n"), "tok").limit(KNOWN).collect()]
     end = [x for x in top if x[0] == END] or [(bytes(r["tok"]), r["n"]) for r in counts.where(F.length("tok") == 0).collect()]
     top = end + [x for x in top if x[0] != END]
     head = sum(n for _, n in top[:HEAD])
@@ -305,6 +316,9 @@ def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
     stats = stored(docs.select("text").mapInArrow(_statistics(shared), "kind byte, key long, n long"))
+    # tasks that are worth the size of a gradient
+    tasks = max(1, -(-stats.count() // STATISTICS))
+    stats = stats.coalesce(tasks) if tasks < stats.rdd.getNumPartitions() else stats
     flat, scale = initial(v), None
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast((flat, k == 0))
