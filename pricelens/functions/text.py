@@ -83,9 +83,11 @@ def tokens(c: Column | str) -> Column:
     return F.filter(parts, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
 
 
-def product_key(title, brand) -> Column:
+def product_key(title, brand, max_tokens: int | None = None) -> Column:
+    """Distinct tokens of brand and title, joined; ``max_tokens`` cuts them before."""
     both = F.concat(F.coalesce(col(brand), F.lit("")), F.lit(" "), F.coalesce(col(title), F.lit("")))
-    return F.array_join(F.array_distinct(F.slice(tokens(both), 1, 10)), "-")
+    found = tokens(both) if max_tokens is None else F.slice(tokens(both), 1, max_tokens)
+    return F.array_join(F.array_distinct(found), "-")
 
 
 def title_overlap(a, b) -> Column:

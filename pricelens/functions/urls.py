@@ -182,7 +182,7 @@ def encode_component(c: Column) -> Column:
     return out
 
 
-def search_url(q, domain, framework=None, preset=None) -> Column:
+def search_url(q, domain, framework=None, preset=None, max_chars: int | None = None) -> Column:
     d = F.regexp_replace(F.regexp_replace(col(domain), r"^https?://", ""), r"/$", "")
     tech = F.lower(F.coalesce(*( [col(framework)] if framework is not None else []), *([col(preset)] if preset is not None else []), F.lit("")))
     known = F.create_map(*[F.lit(x) for kv in SEARCH_TEMPLATES.items() for x in kv])
@@ -191,5 +191,6 @@ def search_url(q, domain, framework=None, preset=None) -> Column:
         cond = F.contains(d, F.lit(word))
         hinted = F.when(cond, SEARCH_TEMPLATES[key]) if hinted is None else hinted.when(cond, SEARCH_TEMPLATES[key])
     template = F.coalesce(F.try_element_at(known, tech), hinted, F.lit(SEARCH_TEMPLATES["default"]))
-    text = encode_component(F.substring(F.trim(col(q)), 1, 240))
+    text = F.trim(col(q))
+    text = encode_component(text if max_chars is None else F.substring(text, 1, max_chars))
     return F.replace(F.replace(template, F.lit("{domain}"), d), F.lit("{q}"), text)

@@ -83,11 +83,12 @@ def with_previous(
         .agg(F.max_by(F.struct(*[F.col(s).alias(n) for n, s in values.items()]), F.struct(*order)).alias("_tail"))
     )
     chain = Window.partitionBy("_k").orderBy("_s")
-    carried = tails.select("_k", "_s", F.lag("_tail").over(chain).alias("_carry"))
-    out = seq.join(F.broadcast(carried), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    # joined on the window's own partitioning, so the long side is not moved again
+    carried = tails.select(F.struct(F.col("_k").alias("k"), F.col("_s").alias("s")).alias("_part"), F.lag("_tail").over(chain).alias("_carry"))
+    out = seq.join(carried, "_part", "left")
     for new in values:
         out = out.withColumn(new, F.when(F.col("_first"), F.col(f"_carry.{new}")).otherwise(F.col(new)))
-    return out.drop("_k", "_s", "_carry", "_first", "_slice", "_hot", "_part")
+    return out.drop("_carry", "_first", "_slice", "_hot", "_part")
 
 
 def carry_forward(
@@ -116,11 +117,11 @@ def carry_forward(
         .agg(*[F.max_by(known(s, F.col(s)), known(s, F.struct(*order))).alias(f"_t_{n}") for n, s in values.items()])
     )
     chain = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.select("_k", "_s", *[F.last(f"_t_{n}", ignorenulls=True).over(chain).alias(f"_c_{n}") for n in values])
-    out = seq.join(F.broadcast(carried), (F.col(key) == F.col("_k")) & (F.col("_slice") == F.col("_s")), "left")
+    carried = tails.select(F.struct(F.col("_k").alias("k"), F.col("_s").alias("s")).alias("_part"), *[F.last(f"_t_{n}", ignorenulls=True).over(chain).alias(f"_c_{n}") for n in values])
+    out = seq.join(carried, "_part", "left")
     for new in values:
         out = out.withColumn(new, F.coalesce(new, f"_c_{new}"))
-    return out.drop("_k", "_s", "_slice", "_hot", "_part", *[f"_c_{n}" for n in values])
+    return out.drop("_slice", "_hot", "_part", *[f"_c_{n}" for n in values])
 
 
 def latest_per_key(df: DataFrame, keys: Iterable[str], cols: Iterable[str], order: Iterable[str] = SNAPSHOT_ORDER) -> DataFrame:
@@ -134,8 +135,11 @@ def latest_per_key(df: DataFrame, keys: Iterable[str], cols: Iterable[str], orde
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def top_k(df: DataFrame, keys: Iterable[str], order: Iterable[Column], k: int, rank: str | None = None) -> DataFrame:
-    """At most ``k`` rows per key.  Spark cuts each task's input to ``k`` rows per key before the shuffle."""
+def top_k(df: DataFrame, keys: Iterable[str], order: Iterable[Column], k: int | None, rank: str | None = None) -> DataFrame:
+    """At most ``k`` rows per key, all without ``k``.  Spark cuts each task's input to ``k`` rows per key before the shuffle."""
+    if k is None and rank is None:
+        return df
     name = rank or "_rank"
-    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    out = out if k is None else out.where(F.col(name) <= k)
     return out.withColumn(name, F.col(name).cast("bigint")) if rank else out.drop(name)

@@ -213,7 +213,7 @@ def rolled_measures() -> list:
     ]
 
 
-def competitor_analytics(t: Tables, f: Filters, k: int | None = 100) -> DataFrame:
+def competitor_analytics(t: Tables, f: Filters, k: int | None = None) -> DataFrame:
     low = f.period(t.as_of).date_from
     scoped = snapshot_scope(t, f, low)
     per = listing_measures(sequenced(t, scoped, low, availability=True))
@@ -257,7 +257,7 @@ def category_first_last(t: Tables, f: Filters) -> DataFrame:
     )
 
 
-def category_analytics(t: Tables, f: Filters, k: int | None = 100) -> DataFrame:
+def category_analytics(t: Tables, f: Filters, k: int | None = None) -> DataFrame:
     low = f.period(t.as_of).date_from
     from .scope import listing_dims, listing_predicates
 
@@ -308,7 +308,7 @@ def availability_trend(t: Tables, f: Filters) -> DataFrame:
     )
 
 
-def availability_events(t: Tables, f: Filters, k: int = 150) -> DataFrame:
+def availability_events(t: Tables, f: Filters, k: int | None = None) -> DataFrame:
     """Newest ``k`` changes or out-of-stock observations per tenant, with the number of events of the listing."""
     low = f.period(t.as_of).date_from
     seq = sequenced(t, snapshot_scope(t, f, low), low, price=False, availability=True)

@@ -332,16 +332,15 @@ def movement_timeline(t: Tables, f: DashboardFilters) -> DataFrame:
         n_if(dropped()).alias("drops"), n_if(raised()).alias("increases"))
 
 
-def price_movements(t: Tables, f: DashboardFilters, pool: int = 100, k: int = 10) -> DataFrame:
-    """The ``pool`` largest relative moves per tenant, of these the ``k`` strongest drops and rises."""
+def price_movements(t: Tables, f: DashboardFilters, k: int = 10) -> DataFrame:
+    """The ``k`` strongest drops and the ``k`` strongest rises per tenant."""
     cur = F.col("scraped_at") >= F.lit(f.period(t.as_of).date_from)
     pct = S.dbl(F.col("price") - F.col("previous_price")) / F.nullif(S.dbl("previous_price"), F.lit(0.0)) * 100
     m = _moves(t, f).where(cur & changed()).select(
         "org_id", "listing_id", "store_id", "snapshot_id", S.dbl("previous_price").alias("old_price"), S.dbl("price").alias("new_price"),
         S.dbl(F.col("price") - F.col("previous_price")).alias("delta_amount"), S.rnd(pct, 2).alias("delta_pct"), F.col("scraped_at").alias("captured_at"),
     )
-    largest = top_k(m, ["org_id"], [F.abs("delta_pct").desc_nulls_last(), F.desc("captured_at"), F.asc("snapshot_id")], pool)
-    tagged = largest.withColumn("direction", F.when(F.col("delta_amount") < 0, "drop").otherwise("increase"))
+    tagged = m.withColumn("direction", F.when(F.col("delta_amount") < 0, "drop").otherwise("increase"))
     best = top_k(tagged, ["org_id", "direction"], [F.abs("delta_pct").desc_nulls_last(), F.desc("captured_at"), F.asc("snapshot_id")], k, rank="position")
     names = t.listings.select("listing_id", F.coalesce("title", F.lit("Untitled")).alias("product_title"))
     st = t.stores.select("store_id", F.col("name").alias("store_name"))

@@ -342,7 +342,7 @@ def product_details(t: Tables, entity_ids: list[str] | None = None) -> DataFrame
     """Overview of all (or the named) entities: comparison measures next to the entity's own."""
     e, m = product_entities(t, with_sparkline=False), members(t)
     if entity_ids is not None:
-        ids = list(dict.fromkeys(entity_ids))[:8]
+        ids = list(dict.fromkeys(entity_ids))
         e, m = e.where(F.col("entity_id").isin(ids)), m.where(F.col("entity_id").isin(ids))
     off = S.discount_pct("price", "old_price", null_when_none=True)
     g = m.groupBy("entity_id").agg(
@@ -458,9 +458,9 @@ def product_summary(e: DataFrame, c: DataFrame) -> DataFrame:
     return g.join(k, "org_id")
 
 
-def product_insights(t: Tables, pool: int = 100, limit: int = 32) -> DataFrame:
-    """Tagged selections from the most volatile entities of each tenant."""
-    e = top_k(product_entities(t, with_sparkline=False), ["org_id"], sort_order("volatility_desc"), pool, rank="rank")
+def product_insights(t: Tables, limit: int = 32) -> DataFrame:
+    """Tagged selections from all entities of each tenant, the most volatile first in each."""
+    e = product_entities(t, with_sparkline=False)
     pct = F.concat(F.format_string("%.1f", "volatility"), F.lit("%"))
     picks = [
         (1, "biggest_price_drops", F.col("market_trend") == "falling", F.lit("success"), F.concat(pct, F.lit(" volatility")), 6),
@@ -472,8 +472,10 @@ def product_insights(t: Tables, pool: int = 100, limit: int = 32) -> DataFrame:
     ]
     tag = lambda b, kind, sev, metric: F.struct(F.lit(b).cast("bigint").alias("block"), F.lit(kind).alias("type"), sev.alias("severity"), metric.alias("metric"), F.lit(0).alias("_"))
     tags = F.array_compact(F.array(*[F.when(cond, tag(b, kind, sev, metric)) for b, kind, cond, sev, metric, _ in picks]))
-    rows = e.select("org_id", "entity_id", F.col("canonical_title").alias("title"), "rank", F.inline(tags)).drop("_")
-    placed = top_k(rows, ["org_id", "block"], [F.asc("rank")], 8, rank="place")
+    wanted = sort_order("volatility_desc")
+    rows = e.withColumn("_tags", tags).select("*", F.inline("_tags")).drop("_", "_tags")
+    placed = top_k(rows, ["org_id", "block"], wanted, 8, rank="place").select(
+        "org_id", "entity_id", F.col("canonical_title").alias("title"), "block", "type", "severity", "metric", "place")
     quota = F.create_map(*[F.lit(x) for b, *_, k in picks for x in (b, k)])
     kept = placed.where(F.col("place") <= F.element_at(quota, F.col("block").cast("int")))
-    return top_k(kept, ["org_id"], [F.asc("block"), F.asc("place")], limit).drop("rank")
+    return top_k(kept, ["org_id"], [F.asc("block"), F.asc("place")], limit)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.scores import col
 from ..functions.text import ascii_edges
-from ..operators.ordered import latest_per_key, top_k
+from ..operators.ordered import latest_per_key
 from ..operators.writes import append_if_absent, first_per_key
 from ..sources.catalog import Tables
 
@@ -132,16 +132,24 @@ def shipment_events(checks: DataFrame, existing: DataFrame | None = None) -> Dat
     return once if existing is None else append_if_absent(once, existing, ["shipment_id", "event_hash"])
 
 
-# a weight of 0.8**400 is below 1e-38: older checks no longer change a double
-EMA_TAIL = 400
 DISABLE_STREAK, DISABLE_MINUTES = 5, 30
 
 
+def newest_first(checks: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``k``, the place of a check counted from the newest of its key. Days are numbered alone and the counts of the days after
+    them added, so that no task holds a key's whole history."""
+    day = F.coalesce(F.date_trunc("day", "checked_at"), F.timestamp_seconds(F.lit(0)))
+    dated = checks.withColumn("_day", day)
+    later = Window.partitionBy(*key).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = dated.groupBy(*key, "_day").agg(F.count(F.lit(1)).alias("_n")).select(*key, "_day", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*key, "_day").orderBy(F.desc("checked_at"), F.desc("check_id")))
+    return dated.withColumn("_own", own).join(before, [*key, "_day"]).withColumn("k", F.col("_before") + F.col("_own")).drop("_day", "_own", "_before")
+
+
 def provider_health(checks: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Running health per tenant and provider.
 
-    The exponential average is a weighted sum over the newest checks, so no provider's history is folded in
-    one task; streaks and times are plain grouped passes over all checks.
+    The exponential average is a weighted sum over all checks, newest first; streaks and times are plain grouped passes.
     """
     key = ["org_id", "provider"]
     c = checks.where(F.col("state") != "robots_disallowed")
@@ -154,7 +162,7 @@ def provider_health(checks: DataFrame, previous: DataFrame | None = None) -> Dat
     bounds = base.select(*key, "_ok")
     hard = c.where(~ok & ~captcha).join(bounds, key).where(F.col("_ok").isNull() | (order > F.col("_ok")))
     streak = hard.groupBy(*key).agg(F.count(F.lit(1)).alias("streak"))
-    tail = top_k(c, key, [F.desc("checked_at"), F.desc("check_id")], EMA_TAIL, rank="k").join(base.select(*key, "n"), key)
+    tail = newest_first(c, key).join(base.select(*key, "n"), key)
     old = previous.select(*key, F.col("success_rate").alias("p_success"), F.col("captcha_rate").alias("p_captcha"), F.col("avg_duration_ms").alias("p_ms"), F.col("consecutive_failures").alias("p_streak")) if previous is not None else None
     if old is not None:
         tail = tail.join(old, key, "left")
@@ -178,14 +186,14 @@ def provider_health(checks: DataFrame, previous: DataFrame | None = None) -> Dat
     return j.select(*key, "success_rate", "captcha_rate", "avg_duration_ms", "consecutive_failures", state.alias("state"), "last_success_at", "last_failure_at", off.alias("disabled_until"))
 
 
-def excerpt(text, number, limit: int = 4000, before: int = 1000) -> Column:
-    """Distinct lines in a window around the tracking number, with the number masked."""
+def excerpt(text, number, limit: int | None = None, before: int | None = None) -> Column:
+    """Distinct lines with the tracking number masked; ``before`` and ``limit`` cut a window of characters around it."""
     lines = F.transform(F.split(col(text), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " ")))
     joined = F.array_join(F.array_distinct(F.filter(lines, lambda x: x != "")), "\n")
     no = F.trim(col(number))
     at = F.instr(F.lower(joined), F.lower(no))
-    start = F.when(at - 1 > before, at - 1 - before).otherwise(0)
-    window = F.substring(joined, start + 1, F.lit(limit))
+    start = F.lit(0) if before is None else F.when(at - 1 > before, at - 1 - before).otherwise(0)
+    window = joined if before is None and limit is None else F.substring(joined, start + 1, F.char_length(joined) if limit is None else F.lit(limit))
     masked = F.regexp_replace(window, F.concat(F.lit(r"(?i)\Q"), no, F.lit(r"\E")), F.lit("[TRACKING_NUMBER]"))
     return F.when(no == "", window).otherwise(masked)
 
@@ -194,9 +202,11 @@ def excerpt(text, number, limit: int = 4000, before: int = 1000) -> Column:
 RELEVANT = r"(?i)label|information received|info received|in transit|customs|out for delivery|delivered|exception|returned|shipper|carrier|origin|destination|\b[A-Z]{2,3}\b"
 
 
-def evidence(text) -> Column:
+def evidence(text, max_lines: int | None = None, max_chars: int | None = None) -> Column:
     lines = F.filter(F.transform(F.split(col(text), r"\r?\n"), F.trim), lambda x: (x != "") & x.rlike(ascii_edges(RELEVANT)))
-    return F.nullif(F.substring(F.array_join(F.slice(F.array_distinct(lines), 1, 8), " · "), 1, 600), F.lit(""))
+    lines = F.array_distinct(lines)
+    joined = F.array_join(lines if max_lines is None else F.slice(lines, 1, max_lines), " · ")
+    return F.nullif(joined if max_chars is None else F.substring(joined, 1, max_chars), F.lit(""))
 
 
 def available(configured: DataFrame, health: DataFrame, as_of) -> DataFrame:
@@ -232,8 +242,8 @@ def canonical_results(checks: DataFrame) -> DataFrame:
     known = checks.where(F.col("provider").isin(SOURCES))
     return known.select(
         "check_id", F.col("provider").alias("source"), F.when(F.col("state").isin(SOURCE_STATES), F.col("state")).otherwise("error").alias("state"), "checked_at",
-        F.when(hint.isin(STATUS_HINTS), hint).alias("status_hint"), F.substring(F.trim(F.coalesce(F.nullif(F.trim("provider"), F.lit("")), F.lit("?"))), 1, 80).alias("label"),
-        F.when(F.trim("excerpt") != "", F.substring("excerpt", 1, 4000)).alias("excerpt"),
+        F.when(hint.isin(STATUS_HINTS), hint).alias("status_hint"), F.trim(F.coalesce(F.nullif(F.trim("provider"), F.lit("")), F.lit("?"))).alias("label"),
+        F.when(F.trim("excerpt") != "", F.col("excerpt")).alias("excerpt"),
     )
 
 
@@ -248,5 +258,5 @@ def route_facts(checks: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order))
     def fact(c):
         v = F.trim(first(c))
-        return F.when(~v.rlike(r"(?i)^(?:-|—|unknown|not provided|n/a|null)$"), F.nullif(F.substring(v, 1, 160), F.lit("")))
+        return F.when(~v.rlike(r"(?i)^(?:-|—|unknown|not provided|n/a|null)$"), F.nullif(v, F.lit("")))
     return ok.groupBy("org_id", "shipment_id").agg(fact("o").alias("origin"), fact("d").alias("destination"))

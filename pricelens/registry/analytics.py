@@ -342,7 +342,7 @@ EVENTS_SQL = """
 SELECT e.org_id, e.listing_id, snapshot_id, d.product_id, coalesce(d.product_name, d.title, d.url) AS product_title, d.store_name, availability,
   previous_availability, scraped_at, metric
 FROM (SELECT *, count(*) OVER (PARTITION BY listing_id) AS metric FROM seq_all WHERE previous_availability <> availability OR availability = 'out_of_stock') e
-JOIN dims d USING (listing_id) QUALIFY row_number() OVER (PARTITION BY e.org_id ORDER BY scraped_at DESC, snapshot_id DESC) <= 150"""
+JOIN dims d USING (listing_id)"""
 
 
 @query("e06_availability_events", EVENTS_SQL)

@@ -287,7 +287,7 @@ def _(t):
 @query("h04_price_movements", f"""
 WITH m AS (SELECT org_id, listing_id, store_id, snapshot_id, CAST(previous_price AS DOUBLE) AS old_price, CAST(price AS DOUBLE) AS new_price, CAST(price - previous_price AS DOUBLE) AS delta_amount,
   {R('CAST(price - previous_price AS DOUBLE) / CAST(previous_price AS DOUBLE) * 100', 2)} AS delta_pct, scraped_at AS captured_at FROM mseq WHERE cur AND {CHG}),
-p AS (SELECT *, CASE WHEN delta_amount < 0 THEN 'drop' ELSE 'increase' END AS direction FROM m QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY abs(delta_pct) DESC, captured_at DESC, snapshot_id) <= 100),
+p AS (SELECT *, CASE WHEN delta_amount < 0 THEN 'drop' ELSE 'increase' END AS direction FROM m),
 q AS (SELECT *, row_number() OVER (PARTITION BY org_id, direction ORDER BY abs(delta_pct) DESC, captured_at DESC, snapshot_id) AS position FROM p)
 SELECT q.*, coalesce(l.title, 'Untitled') AS product_title, s.name AS store_name FROM q JOIN listings l USING (listing_id) JOIN stores s ON s.store_id = q.store_id WHERE position <= 10""")
 def _(t):

@@ -103,7 +103,7 @@ def _(t):
 
 
 @query("a05_import_errors", f"""
-SELECT store_id, row_no, 'Skipped row with invalid URL: ' || url AS error FROM ({LROWS}) WHERE NOT regexp_matches(url, '(?i)^https?://') QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY row_no) <= 20""")
+SELECT store_id, row_no, 'Skipped row with invalid URL: ' || url AS error FROM ({LROWS}) WHERE NOT regexp_matches(url, '(?i)^https?://')""")
 def _(t):
     return IM.import_listings(_listing_rows(t), t.listings)[1]
 
@@ -145,7 +145,7 @@ def _reports(t):
 
 @query("a08_flatten_discovery_report", """
 SELECT 'pages' AS part, run_id, count(*) AS n FROM discovery_products GROUP BY 2 UNION ALL SELECT 'categories', run_id, count(DISTINCT category_url) FROM discovery_products GROUP BY 2
-UNION ALL SELECT 'products', run_id, count(*) FROM discovery_products GROUP BY 2 UNION ALL SELECT DISTINCT 'logs', run_id, 500 FROM discovery_products""")
+UNION ALL SELECT 'products', run_id, count(*) FROM discovery_products GROUP BY 2 UNION ALL SELECT DISTINCT 'logs', run_id, 600 FROM discovery_products""")
 def _(t):
     out = None
     for name, df in IM.flatten_report(_reports(t)).items():

@@ -25,7 +25,7 @@ def TOKENS(e):
 
 
 def KEYOF(title, brand):
-    tk = TOKENS(f"coalesce({brand}, '') || ' ' || coalesce({title}, '')") + "[1:10]"
+    tk = TOKENS(f"coalesce({brand}, '') || ' ' || coalesce({title}, '')")
     return f"array_to_string(list_filter({tk}, lambda x, i: list_position({tk}, x) = i), '-')"
 
 

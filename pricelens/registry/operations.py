@@ -229,9 +229,8 @@ def _(t):
 
 @query("l08_excerpt", """
 WITH l AS (SELECT page_id, tracking_number, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(regexp_replace(x, '[\\s\\x{00A0}]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM tracking_pages),
-d AS (SELECT page_id, tracking_number, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), chr(10)) AS j FROM l),
-s AS (SELECT *, CASE WHEN strpos(lower(j), lower(tracking_number)) - 1 > 1000 THEN strpos(lower(j), lower(tracking_number)) - 1001 ELSE 0 END AS st FROM d)
-SELECT page_id, regexp_replace(substr(j, st + 1, 4000), tracking_number, '[TRACKING_NUMBER]', 'gi') AS excerpt FROM s""")
+d AS (SELECT page_id, tracking_number, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), chr(10)) AS j FROM l)
+SELECT page_id, regexp_replace(j, tracking_number, '[TRACKING_NUMBER]', 'gi') AS excerpt FROM d""")
 def _(t):
     return t.tracking_pages.select("page_id", SH.excerpt("text", "tracking_number").alias("excerpt"))
 
@@ -239,7 +238,7 @@ def _(t):
 @query("l12_evidence_summary", """
 WITH l AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '' AND
   regexp_matches(x, '(?i)label|information received|info received|in transit|customs|out for delivery|delivered|exception|returned|shipper|carrier|origin|destination|\\b[A-Z]{2,3}\\b')) AS ls FROM tracking_pages)
-SELECT page_id, nullif(substr(array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i)[1:8], ' · '), 1, 600), '') AS summary FROM l""")
+SELECT page_id, nullif(array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), ' · '), '') AS summary FROM l""")
 def _(t):
     return t.tracking_pages.select("page_id", SH.evidence("text").alias("summary"))
 

@@ -334,7 +334,7 @@ def _(t):
 
 
 @query("h08_product_insights", f"""
-WITH e AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY (hist_max - hist_min) / nullif(hist_avg, 0) DESC NULLS LAST, updated_at DESC NULLS LAST, discovered_at DESC NULLS LAST, entity_id) AS rk FROM ({H01}) QUALIFY rk <= 100),
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY (hist_max - hist_min) / nullif(hist_avg, 0) DESC NULLS LAST, updated_at DESC NULLS LAST, discovered_at DESC NULLS LAST, entity_id) AS rk FROM ({H01})),
 u AS (SELECT org_id, entity_id, canonical_title AS title, rk, 1 AS block, 'biggest_price_drops' AS type, 'success' AS severity, format('{{:.1f}}', volatility) || '% volatility' AS metric, 6 AS quota FROM e WHERE market_trend = 'falling'
 UNION ALL SELECT org_id, entity_id, canonical_title, rk, 2, 'biggest_price_increases', 'warning', format('{{:.1f}}', volatility) || '% volatility', 6 FROM e WHERE market_trend = 'rising'
 UNION ALL SELECT org_id, entity_id, canonical_title, rk, 3, 'unstable_products', CASE WHEN volatility >= 25 THEN 'critical' ELSE 'warning' END, format('{{:.1f}}', volatility) || '%', 8 FROM e WHERE volatility >= 10

@@ -23,7 +23,7 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def get_spark(app: str = "pricelens", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -32,16 +32,10 @@ def get_spark(app: str = "pricelens", master: str | None = None, **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for lineage cuts: the one the cluster names, else a private one for local runs."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Directory for lineage cuts: the one the cluster names, else one below the warehouse, which all executors share."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="pricelens-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     spark.sparkContext.setCheckpointDir(named)
-    return named
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -31,13 +31,13 @@ def import_my_products(rows: DataFrame, existing: DataFrame, currency: str = "EU
     return new, rows.where(~ok), counts
 
 
-def import_listings(rows: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new listings, first twenty error texts per store, counts).  ``rows`` carries org_id, store_id and row_no."""
+def import_listings(rows: DataFrame, existing: DataFrame, max_errors: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new listings, error texts, counts).  ``rows`` carries org_id, store_id and row_no."""
     ok = F.coalesce(F.col("url").rlike(r"(?i)^https?://"), F.lit(False))
     keyed = rows.where(ok).withColumn("url_hash", U.url_hash("url"))
     new = append_if_absent(first_per_key(keyed, ["store_id", "url_hash"], ["row_no"]), existing, ["store_id", "url_hash"]).drop("row_no")
     bad = rows.where(~ok).select("store_id", "row_no", F.concat(F.lit("Skipped row with invalid URL: "), F.coalesce("url", F.lit("(empty)"))).alias("error"))
-    errors = top_k(bad, ["store_id"], [F.asc("row_no")], 20)
+    errors = bad if max_errors is None else top_k(bad, ["store_id"], [F.asc("row_no")], max_errors)
     counts = rows.groupBy("store_id").agg(F.count_if(ok).alias("imported"), F.count_if(~ok).alias("skipped"))
     return new, errors, counts
 
@@ -67,7 +67,7 @@ REPORT_SCHEMA = (
 )
 
 
-def flatten_report(reports: DataFrame, column: str = "report", keep_logs: int = 500) -> dict[str, DataFrame]:
+def flatten_report(reports: DataFrame, column: str = "report", keep_logs: int | None = None) -> dict[str, DataFrame]:
     """Nested crawl reports (one JSON document per run) as four tables; a category's id follows from run and URL."""
     r = reports.select(F.from_json(column, REPORT_SCHEMA).alias("r")).select("r.*")
     pages = r.select("run_id", F.inline("pages")).select("run_id", "url", F.coalesce("normalizedUrl", "url").alias("normalized_url"), F.coalesce("pageType", F.lit("unknown")).alias("page_type"),
@@ -76,7 +76,7 @@ def flatten_report(reports: DataFrame, column: str = "report", keep_logs: int =
     cats = cats.dropDuplicates(["run_id", "url"]).withColumn("category_id", F.concat_ws("|", F.col("run_id").cast("string"), "url"))
     prods = r.select("run_id", "store_id", F.inline("products")).join(cats.select("run_id", F.col("url").alias("categoryUrl"), "category_id"), ["run_id", "categoryUrl"], "left")
     prods = prods.select("run_id", "store_id", "url", F.coalesce("normalizedUrl", "url").alias("normalized_url"), "title", F.round("price", 2).cast("decimal(12,2)").alias("price"), "category_id")
-    logs = r.select("run_id", F.posexplode(F.slice("logs", F.greatest(F.size("logs") - keep_logs + 1, F.lit(1)), keep_logs))).select("run_id", F.col("pos").alias("position"), F.coalesce("col.level", F.lit("info")).alias("level"), F.coalesce("col.message", F.lit("")).alias("message"))
+    logs = r.select("run_id", F.posexplode("logs" if keep_logs is None else F.slice("logs", F.greatest(F.size("logs") - keep_logs + 1, F.lit(1)), keep_logs))).select("run_id", F.col("pos").alias("position"), F.coalesce("col.level", F.lit("info")).alias("level"), F.coalesce("col.message", F.lit("")).alias("message"))
     return {"pages": pages, "categories": cats, "products": prods, "logs": logs}
 
 
