@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..operators.medians import exact_medians
 from ..operators.ordered import top_k
 from ..sources.catalog import Tables
 from .filters import Filters, time_bucket
@@ -35,10 +36,11 @@ def downsample(df: DataFrame, max_points: int, order: str = "bucket") -> DataFra
 
 def market_trend(t: Tables, f: Filters) -> DataFrame:
     low = f.period(t.as_of).date_from
-    seq = sequenced(t, snapshot_scope(t, f, low), low).where(F.col("price").isNotNull())
-    return seq.groupBy("org_id", time_bucket("scraped_at", f.range).alias("bucket")).agg(
+    scoped = snapshot_scope(t, f, low)
+    seq = sequenced(t, scoped, low).where(F.col("price").isNotNull())
+    medians = exact_medians(scoped.select("org_id", time_bucket("scraped_at", f.range).alias("bucket"), "price"), ["org_id", "bucket"], "price", "median_price")
+    trend = seq.groupBy("org_id", time_bucket("scraped_at", f.range).alias("bucket")).agg(
         S.mean("price").alias("average_price"),
-        S.median("price").alias("median_price"),
         S.dbl(F.min("price")).alias("min_price"),
         S.dbl(F.max("price")).alias("max_price"),
         S.rnd(F.avg(discount0()), 2).alias("average_discount"),
@@ -46,6 +48,8 @@ def market_trend(t: Tables, f: Filters) -> DataFrame:
         n_if(raised()).alias("increases"),
         n_if(changed()).alias("changes"),
     )
+    cols = ["org_id", "bucket", "average_price", "median_price", "min_price", "max_price", "average_discount", "drops", "increases", "changes"]
+    return trend.join(medians, ["org_id", "bucket"], "left").select(*cols)
 
 
 def overview(t: Tables, f: Filters) -> DataFrame:
@@ -99,10 +103,8 @@ def overview(t: Tables, f: Filters) -> DataFrame:
     periods = per_listing.groupBy("org_id").agg(*aggs)
     before = per_listing.where(F.col("previous_rows") > 0).join(confirmed_matches(t), "listing_id", "left")
     before = before.groupBy("org_id").agg(F.count_distinct(entity_key()).alias("previous_total_products"))
-    medians = both.groupBy("org_id").agg(
-        S.median(F.when(F.col("is_cur"), F.col("price"))).alias("median_price"),
-        S.median(F.when(~F.col("is_cur"), F.col("price"))).alias("previous_median_price"),
-    )
+    medians = exact_medians(both, ["org_id", "is_cur"], "price", "m").groupBy("org_id").agg(
+        F.max(F.when(F.col("is_cur"), F.col("m"))).alias("median_price"), F.max(F.when(~F.col("is_cur"), F.col("m"))).alias("previous_median_price"))
     stale = F.col("last_scraped_at").isNull() | (F.col("last_scraped_at") < t.ago(hours=24))
     now = latest_scope(t, f).groupBy("org_id").agg(
         F.count_distinct(entity_key()).alias("total_products"),
@@ -222,9 +224,7 @@ def competitor_analytics(t: Tables, f: Filters, k: int | None = None) -> DataFra
         F.sum("stock_changes").alias("stock_changes"), S.rnd(S.dbl(F.sum("conf_sum")) / F.sum("conf_n"), 3).alias("avg_confidence"),
         F.sum("ok").alias("ok_count"), F.sum("n").alias("total_count"), F.max("last_seen").alias("last_seen"),
     )
-    # the exact median needs every price; on its own it does not weigh on the other measures' shuffle
-    medians = scoped.groupBy("org_id", "store_id").agg(S.median("price").alias("median_price"))
-    stats = stats.join(medians, ["org_id", "store_id"])
+    stats = stats.join(exact_medians(scoped, ["org_id", "store_id"], "price", "median_price"), ["org_id", "store_id"], "left")
     failed = between(t.runs, "created_at", low).where(F.col("status") == "failed").groupBy("store_id").agg(
         F.count(F.lit(1)).alias("failed_scrapes"),
         F.max(F.coalesce("finished_at", "started_at", "created_at")).alias("last_failed"),
@@ -274,8 +274,8 @@ def category_analytics(t: Tables, f: Filters, k: int | None = None) -> DataFrame
         F.count_distinct("listing_id").alias("total_stock"), F.count_distinct(F.when(F.col("in_stock") > 0, F.col("listing_id"))).alias("in_stock"),
         *rolled_measures(), S.dbl(F.min("first_seen")["price"]).alias("first_price"), S.dbl(F.max("latest_seen")["price"]).alias("last_price"),
     )
-    prices = scoped.where(F.col("price").isNotNull()).select("org_id", "listing_id", "price").join(dims.select("listing_id", "category_id", "category"), "listing_id")
-    medians = prices.groupBy(*key).agg(S.median("price").alias("median_price"))
+    prices = scoped.where(F.col("price").isNotNull()).groupBy("org_id", "listing_id", "price").agg(F.count(F.lit(1)).alias("times"))
+    medians = exact_medians(prices.join(dims.select("listing_id", "category_id", "category"), "listing_id"), key, "price", "median_price", "times")
     same = lambda c: stats[c].eqNullSafe(medians[c])
     stats = stats.join(medians, same("org_id") & same("category_id") & same("category"), "left").select(*[stats[c] for c in stats.columns], "median_price")
     out = stats.select(
