@@ -156,7 +156,8 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     sep = F.lit("\x1f")
     cell = F.when(F.col("n") >= LEAST_ROWS, F.concat("lang", sep, "source")).when(F.col("n_lang") >= LEAST_ROWS, F.concat("lang", sep, sep)).when(
         F.lit(n_rest) >= LEAST_ROWS, F.concat(sep, sep))
-    cells = sizes.join(pooled, "lang", "left").select("lang", "source", cell.alias("cell"))
+    # settled, so that the exchange stands right below the join and Spark can split a source that holds a third of the rows
+    cells = settled(sizes.join(pooled, "lang", "left").select("lang", "source", cell.alias("cell")))
     mine = settled(rows.join(cells, ["lang", "source"], "left"))
     usable = mine.where("cell is not null and v is not null").select("cell", "v")
     bins = usable.select("cell", F.posexplode("v").alias("dim", "x")).groupBy("cell", "dim", F.floor(F.col("x") / 0.02).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -137,7 +137,7 @@ class Landmarks:
         return out**POWER
 
 
-def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 150) -> np.ndarray:
+def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 500) -> np.ndarray:
     """Linear support vector machine: weighted squared hinge loss, accelerated gradient; the last column of x is 1."""
     top = np.linalg.eigvalsh((x * weight[:, None]).T @ x / weight.sum())[-1]
     rate, u, v = 1.0 / (2 * top + ridge), np.zeros(x.shape[1]), np.zeros(x.shape[1])
@@ -208,13 +208,17 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     root = vec @ np.diag(1 / np.sqrt(np.maximum(low, 0.05))) @ vec.T
     marks = Landmarks(words)
 
-    def features(some: list[str]) -> np.ndarray:
-        return np.c_[marks.against(some) @ root, np.ones(len(some))].astype(np.float32)
+    def whitened(z: np.ndarray) -> np.ndarray:
+        return np.c_[z @ root, np.ones(len(z))].astype(np.float32)
 
-    phi = features(every)
+    raw = marks.against(every)
+    phi = whitened(raw)
     clean = np.unique(np.concatenate([b for b, y in zip(bags, toxic) if not y] or [np.zeros(0, np.int64)]))
     score = np.array([excess.get(w, 0.0) for w in every])
     score[clean] = np.minimum(score[clean], 0.0)
+    # words with next to nothing in common with any landmark are as good as one without letters, that many times
+    near = clean[raw[clean][:, :TELLING].max(1) > 0.05]
+    nothing = np.r_[np.zeros(len(words)), 1.0].astype(np.float32)[None]
     limit = np.inf
     for _ in range(3):
         best = np.array([b[np.argmax(score[b])] for b, y in zip(bags, toxic) if y and len(b)])
@@ -223,10 +227,13 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         if not len(found):
             break
         # each also with one character, of any kind, put in between
-        gapped = features([w[:i] + ANY + w[i:] for w in map(every.__getitem__, found.tolist()) if len(w) < WINDOW - 1 for i in range(1, len(w))])
-        n = len(found), len(gapped), len(clean)
-        x, y = np.r_[phi[found], gapped, phi[clean]], np.r_[np.ones(n[0] + n[1]), -np.ones(n[2])].astype(np.float32)
-        u = _descend(x, y, np.concatenate([np.full(k, share / max(1, k), np.float32) for k, share in zip(n, (0.3, 0.2, 0.5))]))
+        gapped = whitened(marks.against([w[:i] + ANY + w[i:] for w in map(every.__getitem__, found.tolist()) if len(w) < WINDOW - 1 for i in range(1, len(w))]))
+        x = np.r_[phi[found], gapped, phi[near], nothing]
+        n = len(found), len(gapped), len(near) + 1
+        y = np.r_[np.ones(n[0] + n[1]), -np.ones(n[2])].astype(np.float32)
+        each = [np.full(k, share / max(1, k), np.float32) for k, share in zip(n, (0.25, 0.25, 0.5 * len(near) / len(clean) if len(clean) else 0.5))]
+        each[2][-1] = 0.5 * (len(clean) - len(near)) / max(1, len(clean)) + 1e-6
+        u = _descend(x, y, np.concatenate(each))
         score = phi @ u
         limit = max(0.0, float(score[clean].max(initial=0.0)))
     else:
