@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Length of the subsequences, what each position of their span is worth, characters compared at a time, power of the kernel.
-ORDER, DECAY, WINDOW, POWER = 3, 0.6, 20, 2
+ORDER, DECAY, WINDOW, POWER = 3, 0.8, 20, 3
 #: Landmarks: words that tell toxic rows apart, and frequent others.
 TELLING, NEUTRAL = 64, 8
 #: Most labelled rows of each label that the fit takes.
@@ -149,13 +149,13 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from margins to probabilities, with smoothed targets."""
-    p, n = (y > 0).sum(), (y <= 0).sum()
-    t = np.where(y > 0, (p + 1) / (p + 2), 1 / (n + 2))
-    x, ab = np.c_[f, np.ones_like(f)], np.array([1.0, 0.0])
+    """Slope and offset of the logistic curve from margins to probabilities, a fifth of the weight on label 1, with smoothed targets."""
+    p, n = y.sum(), (~y).sum()
+    t = np.where(y, (p + 1) / (p + 2), 1 / (n + 2))
+    x, ab, weight = np.c_[f, np.ones_like(f)], np.array([1.0, 0.0]), np.where(y, 0.2 / p, 0.8 / n) * len(y)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        g, h = x.T @ (q - t), (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2)
+        g, h = x.T @ (weight * (q - t)), (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2)
         ab = ab - np.clip(np.linalg.solve(h, g), -2, 2)
     return float(ab[0]), float(ab[1])
 
@@ -238,7 +238,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         limit = max(0.0, float(score[clean].max(initial=0.0)))
     else:
         top = np.array([score[b].max() if len(b) else u[-1] for b in bags])
-        slope, offset = _platt(top, toxic.astype(float))
+        hidden = (gapped @ u)[:: max(1, len(gapped) // 2000)]  # disguised words count in the calibration as texts do
+        slope, offset = _platt(np.r_[top, hidden], np.r_[toxic, np.ones(len(hidden), bool)])
         return Model(words, (root @ u[:-1]).tolist(), float(u[-1]), slope, offset)
     return Model([], [], 0.0, 0.0, math.log((toxic.sum() + 1) / ((~toxic).sum() + 1)))
 
