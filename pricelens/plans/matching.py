@@ -177,12 +177,13 @@ def match_by_url(rows: DataFrame, t: Tables) -> dict[str, DataFrame]:
     return {"listings": fresh, "snapshots": obs, "products": products, "matches": links}
 
 
-def dedupe_products(d: DataFrame) -> DataFrame:
-    """Merge found products that share a URL, SKU, GTIN or EAN, also over several steps.
+def dedupe_products(d: DataFrame, within: tuple[str, ...] = ("org_id", "run_id")) -> DataFrame:
+    """Merge found products of one tenant and crawl run that share a URL, SKU, GTIN or EAN, also over several steps.
 
     The first non-null value (by product id) of every field wins; confidence is the highest.
     """
-    tag = lambda name, c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{name}:"), F.col(c)))
+    scope = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in within])
+    tag = lambda name, c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(scope, F.lit(f"|{name}:"), F.col(c)))
     keys = F.array_compact(F.array(tag("url", "normalized_url"), tag("sku", "sku"), tag("gtin", "gtin"), tag("ean", "ean")))
     rows = d.select(F.col("product_id").alias("row_id"), F.explode(keys).alias("key"))
     comp = components(rows).withColumnRenamed("row_id", "product_id")
@@ -190,7 +191,7 @@ def dedupe_products(d: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("product_id"))).alias(c)
     merged = j.groupBy("component").agg(
         *[first(c) for c in ("normalized_url", "title", "price", "currency", "availability", "image_url", "brand", "sku", "ean", "gtin")],
-        F.count(F.lit(1)).alias("merged_rows"), F.max("confidence").alias("confidence"),
+        *[F.min(c).alias(c) for c in within], F.count(F.lit(1)).alias("merged_rows"), F.max("confidence").alias("confidence"),
         F.when(F.max(F.col("source") == "product_detail"), "product_detail").otherwise(F.min_by("source", "product_id")).alias("source"),
     )
     # distinct values only: map-side combine removes the copies before the shuffle

@@ -197,18 +197,19 @@ def _(t):
 
 
 @query("j08_discovered_dedup", """
-WITH RECURSIVE k AS (SELECT product_id, 'url:' || normalized_url AS key FROM discovery_products UNION ALL SELECT product_id, 'sku:' || sku FROM discovery_products WHERE sku IS NOT NULL
-  UNION ALL SELECT product_id, 'gtin:' || gtin FROM discovery_products WHERE gtin IS NOT NULL UNION ALL SELECT product_id, 'ean:' || ean FROM discovery_products WHERE ean IS NOT NULL),
-e AS (SELECT DISTINCT a.product_id AS a, b.product_id AS b FROM k a JOIN k b USING (key)),
+WITH RECURSIVE p AS (SELECT d.*, s.org_id FROM discovery_products d JOIN stores s USING (store_id)),
+k AS (SELECT org_id, run_id, product_id, 'url:' || normalized_url AS key FROM p UNION ALL SELECT org_id, run_id, product_id, 'sku:' || sku FROM p WHERE sku IS NOT NULL
+  UNION ALL SELECT org_id, run_id, product_id, 'gtin:' || gtin FROM p WHERE gtin IS NOT NULL UNION ALL SELECT org_id, run_id, product_id, 'ean:' || ean FROM p WHERE ean IS NOT NULL),
+e AS (SELECT DISTINCT a.product_id AS a, b.product_id AS b FROM k a JOIN k b USING (org_id, run_id, key)),
 reach AS (SELECT product_id AS a, product_id AS b FROM discovery_products UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
 c AS (SELECT a AS product_id, min(b) AS component FROM reach GROUP BY 1)
-SELECT component, count(*) AS merged_rows, arg_min(title, product_id) FILTER (WHERE title IS NOT NULL) AS title, CAST(arg_min(price, product_id) FILTER (WHERE price IS NOT NULL) AS DOUBLE) AS price,
+SELECT component, min(org_id) AS org_id, min(run_id) AS run_id, count(*) AS merged_rows, arg_min(title, product_id) FILTER (WHERE title IS NOT NULL) AS title, CAST(arg_min(price, product_id) FILTER (WHERE price IS NOT NULL) AS DOUBLE) AS price,
   arg_min(sku, product_id) FILTER (WHERE sku IS NOT NULL) AS sku, arg_min(gtin, product_id) FILTER (WHERE gtin IS NOT NULL) AS gtin, arg_min(ean, product_id) FILTER (WHERE ean IS NOT NULL) AS ean,
   CAST(max(confidence) AS DOUBLE) AS confidence, CASE WHEN bool_or(store_id = 0) THEN 'product_detail' ELSE 'json-ld' END AS source, CASE WHEN bool_or(price IS NULL) THEN 'incomplete_card' ELSE '' END AS errors
-FROM discovery_products JOIN c USING (product_id) GROUP BY 1""")
+FROM p JOIN c USING (product_id) GROUP BY 1""")
 def _(t):
-    d = M.dedupe_products(t.discovery_products)
-    return d.select("component", "merged_rows", "title", S.dbl("price").alias("price"), "sku", "gtin", "ean", "confidence", "source", F.coalesce(F.array_join("errors", ","), F.lit("")).alias("errors"))
+    d = M.dedupe_products(t.discovery_products.join(t.stores.select("store_id", "org_id"), "store_id"))
+    return d.select("component", "org_id", "run_id", "merged_rows", "title", S.dbl("price").alias("price"), "sku", "gtin", "ean", "confidence", "source", F.coalesce(F.array_join("errors", ","), F.lit("")).alias("errors"))
 
 
 @query("j09_normalised_products", f"""
