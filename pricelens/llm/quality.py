@@ -22,6 +22,8 @@ DIMS = {"word_length": 0.06, "symbols": 0.5, "dup_lines": 1.0, "repeats": 1.0, "
 P = len(DIMS)
 #: Share of the rows that the estimates rest on; concentration steps; rows below which a source is pooled with its language's others.
 H, STEPS, LEAST_ROWS = 0.75, 5, 200
+#: Sources whose estimates (half a kilobyte each) are broadcast.
+BROADCAST_CELLS = 20_000
 #: Probability of the chi-square bound.
 BOUND = 0.99999
 
@@ -156,9 +158,10 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     sep = F.lit("\x1f")
     cell = F.when(F.col("n") >= LEAST_ROWS, F.concat("lang", sep, "source")).when(F.col("n_lang") >= LEAST_ROWS, F.concat("lang", sep, sep)).when(
         F.lit(n_rest) >= LEAST_ROWS, F.concat(sep, sep))
-    # settled, so that the exchange stands right below the join and Spark can split a source that holds a third of the rows
     cells = settled(sizes.join(pooled, "lang", "left").select("lang", "source", cell.alias("cell")))
-    mine = settled(rows.join(cells, ["lang", "source"], "left"))
+    # a few numbers per source: sent to every task while they are few, so that a hot source isn't dealt to one; else Spark joins and splits
+    small = (lambda df: F.broadcast(df)) if cells.count() <= BROADCAST_CELLS else (lambda df: df)
+    mine = settled(rows.join(small(cells), ["lang", "source"], "left"))
     usable = mine.where("cell is not null and v is not null").select("cell", "v")
     bins = usable.select("cell", F.posexplode("v").alias("dim", "x")).groupBy("cell", "dim", F.floor(F.col("x") / 0.02).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     schema = "mean array<double>, inverse array<double>, factor double, cell string"
@@ -166,9 +169,9 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(P)],
             *[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"q{i}_{j}") for i in range(P) for j in range(i, P)]]
     for _ in range(STEPS):
-        near = usable.join(state, "cell").withColumn("bin", F.floor(F.log2(F.greatest(_distance("v", "mean", "inverse"), F.lit(2.0**-10))) * 8))
+        near = usable.join(small(state), "cell").withColumn("bin", F.floor(F.log2(F.greatest(_distance("v", "mean", "inverse"), F.lit(2.0**-10))) * 8))
         state = settled(near.groupBy("cell", "bin").agg(*sums).groupBy("cell").applyInPandas(_step, schema))
-    return mine.join(state, "cell", "left").withColumn("d2", _distance("v", "mean", "inverse") / F.col("factor")).drop("cell", "mean", "inverse", "factor", "v")
+    return mine.join(small(state), "cell", "left").withColumn("d2", _distance("v", "mean", "inverse") / F.col("factor")).drop("cell", "mean", "inverse", "factor", "v")
 
 
 def assess(docs: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def numbered(placed: DataFrame) -> DataFrame:
     """Adds slot. The buckets' counts are at most 512 a shard, so their broadcast has a fixed bound."""
     from pyspark.sql import Window
 
-    rows = placed.select("doc_id", "size", "text_crc32", "shard", (F.abs(F.xxhash64("doc_id", "a")) % SLOT_BUCKETS).alias("bucket"))
+    rows = placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "a"), F.lit(SLOT_BUCKETS)).alias("bucket"))
     rows = settled(rows)
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
