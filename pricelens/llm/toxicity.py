@@ -205,11 +205,13 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     bags = [np.array(sorted({at[w] for w in t}), np.int64) for t in texts]
     gram = np.array([[_dot(a, b) ** POWER for b in maps] for maps in [list(map(subsequences, words))] for a in maps])
     low, vec = np.linalg.eigh(gram)
-    root = vec @ np.diag(1 / np.sqrt(np.maximum(low, 0.05))) @ vec.T
+    root = (vec @ np.diag(1 / np.sqrt(np.maximum(low, 0.05))) @ vec.T).astype(np.float32)
     marks = Landmarks(words)
 
     def whitened(z: np.ndarray) -> np.ndarray:
-        return np.c_[z @ root, np.ones(len(z))].astype(np.float32)
+        out = np.ones((len(z), z.shape[1] + 1), np.float32)
+        np.matmul(z, root, out=out[:, :-1])
+        return out
 
     raw = marks.against(every)
     phi = whitened(raw)
