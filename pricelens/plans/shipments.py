@@ -203,7 +203,7 @@ RELEVANT = r"(?i)label|information received|info received|in transit|customs|out
 
 
 def evidence(text, max_lines: int | None = None, max_chars: int | None = None) -> Column:
-    lines = F.filter(F.transform(F.split(col(text), r"\r?\n"), F.trim), lambda x: (x != "") & x.rlike(ascii_edges(RELEVANT)))
+    lines = F.filter(F.transform(F.split(col(text), r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & x.rlike(ascii_edges(RELEVANT)))
     lines = F.array_distinct(lines)
     joined = F.array_join(lines if max_lines is None else F.slice(lines, 1, max_lines), " · ")
     return F.nullif(joined if max_chars is None else F.substring(joined, 1, max_chars), F.lit(""))
