@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: Lengths whose sums are first added up among themselves.
 BLOCK = 1024
 
@@ -46,6 +48,7 @@ def histogram(measured: DataFrame) -> DataFrame:
     lengths and over the blocks' sums, so no task holds the whole histogram. Null lengths are left out. Empty table: empty result.
     """
     hist = measured.where("length is not null").groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = settled(hist)  # used twice below; the encoding isn't to run twice
     hist = hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.floor(F.col("length") / BLOCK))
     blocks = hist.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("n_tokens").alias("_t"))
     after = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
