@@ -16,16 +16,28 @@ from .common import settled
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Dimensions of the statistic vector, and the least standard deviation that each is given: a statistic that is zero in
-#: most clean documents would else reject every document in which it isn't.
-DIMS = {"word_length": 0.06, "symbols": 0.5, "dup_lines": 1.0, "repeats": 1.0, "upper": 0.4, "digits": 0.8}
+#: Probability of the chi-square bound.
+BOUND = 0.999
+
+
+def _chi_square(q: float, p: float) -> float:
+    return p * max(0.0, 1 - 2 / (9 * p) + NormalDist().inv_cdf(q) * (2 / (9 * p)) ** 0.5) ** 3
+
+
+def _alone(share: float) -> float:
+    """The standard deviation with which ``share`` of a statistic that is zero in all other rows reaches the bound by itself."""
+    return float(np.log1p(100 * share)) / _chi_square(BOUND, 6) ** 0.5
+
+
+#: Dimensions of the statistic vector, and the least standard deviation that each is given. Word length and capitals spread
+#: in every cell, so theirs only keep the matrix invertible. The others are zero in most clean documents and would reject every
+#: document in which they aren't: theirs let that share of symbols, double lines, repeats or digits reject alone.
+DIMS = {"word_length": 0.01, "symbols": _alone(0.05), "dup_lines": _alone(0.3), "repeats": _alone(0.3), "upper": 0.05, "digits": _alone(0.15)}
 P = len(DIMS)
 #: Share of the rows that the estimates rest on; concentration steps; rows below which a source is pooled with its language's others.
 H, STEPS, LEAST_ROWS = 0.75, 5, 200
 #: Sources whose estimates (half a kilobyte each) are broadcast.
 BROADCAST_CELLS = 20_000
-#: Probability of the chi-square bound.
-BOUND = 0.99999
 
 
 def repeated_words(words: list[bytes], n: int = 8) -> int:
@@ -95,10 +107,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
-def _chi_square(q: float, p: int) -> float:
-    return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(q) * (2 / (9 * p)) ** 0.5) ** 3
-
-
 def _distance(v: str, mean: str, inverse: str) -> Column:
     d = [F.col(v)[i] - F.col(mean)[i] for i in range(P)]
     total = F.lit(0.0)
@@ -111,8 +119,10 @@ def _distance(v: str, mean: str, inverse: str) -> Column:
 
 
 def _state(mean: np.ndarray, cov: np.ndarray, factor: float) -> pd.DataFrame:
-    cov = cov + np.diag(np.square(list(DIMS.values())))
-    return pd.DataFrame({"mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "factor": [factor]})
+    """The factor scales the estimate, not the floors; ``free`` counts the dimensions whose spread is the estimate's rather than the floor's."""
+    full = factor * cov + np.diag(np.square(list(DIMS.values())))
+    free = float(np.trace(np.linalg.solve(full, factor * cov)))
+    return pd.DataFrame({"mean": [mean.tolist()], "inverse": [np.linalg.inv(full).ravel().tolist()], "factor": [factor], "free": [free]})
 
 
 def _start(key, bins: pd.DataFrame) -> pd.DataFrame:
@@ -138,8 +148,10 @@ def _step(key, bins: pd.DataFrame) -> pd.DataFrame:
     for i in range(P):
         for j in range(i, P):
             second[i, j] = second[j, i] = near[f"q{i}_{j}"].sum() / n
-    median = 2 ** (bins["bin"].iloc[int(np.searchsorted(cum, 0.5 * cum[-1]))] / 8)
-    return _state(mean, second - np.outer(mean, mean), max(1.0, median / _chi_square(0.5, P))).assign(cell=key[0])
+    median = 2 ** ((bins["bin"].iloc[int(np.searchsorted(cum, 0.5 * cum[-1]))] + 0.5) / 8)
+    factor, free = bins["factor"].iloc[0], bins["free"].iloc[0]
+    factor = min(max(factor * median / _chi_square(0.5, max(1.0, free)), 0.1), 10.0)
+    return _state(mean, second - np.outer(mean, mean), factor).assign(cell=key[0])
 
 
 def robust_distances(rows: DataFrame) -> DataFrame:
@@ -149,7 +161,8 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     smaller over all languages; a pool smaller than that gives no verdict. The search starts at medians and quartile
     ranges and takes STEPS concentration steps: in each, every row's distance is binned (8 bins per doubling), the bins'
     counts and moments are summed per cell with map-side combine, and the estimates of the nearest share H come from a
-    cell's bins alone, of which there are at most some hundreds. No cell's rows ever meet in one task.
+    cell's bins alone, of which there are at most some hundreds. No cell's rows ever meet in one task. The consistency
+    factor, over or under 1, brings the median distance to that of a chi-square variable of as many dimensions as spread.
     """
     sizes = rows.where("v is not null").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     pooled = sizes.where(F.col("n") < LEAST_ROWS).groupBy("lang").agg(F.sum("n").alias("n_lang"))
@@ -164,14 +177,14 @@ def robust_distances(rows: DataFrame) -> DataFrame:
     mine = settled(rows.join(small(cells), ["lang", "source"], "left"))
     usable = mine.where("cell is not null and v is not null").select("cell", "v")
     bins = usable.select("cell", F.posexplode("v").alias("dim", "x")).groupBy("cell", "dim", F.floor(F.col("x") / 0.02).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    schema = "mean array<double>, inverse array<double>, factor double, cell string"
+    schema = "mean array<double>, inverse array<double>, factor double, free double, cell string"
     state = settled(bins.groupBy("cell").applyInPandas(_start, schema))
-    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(P)],
+    sums = [F.count(F.lit(1)).alias("n"), F.first("factor").alias("factor"), F.first("free").alias("free"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(P)],
             *[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"q{i}_{j}") for i in range(P) for j in range(i, P)]]
     for _ in range(STEPS):
         near = usable.join(small(state), "cell").withColumn("bin", F.floor(F.log2(F.greatest(_distance("v", "mean", "inverse"), F.lit(2.0**-10))) * 8))
         state = settled(near.groupBy("cell", "bin").agg(*sums).groupBy("cell").applyInPandas(_step, schema))
-    return mine.join(small(state), "cell", "left").withColumn("d2", _distance("v", "mean", "inverse") / F.col("factor")).drop("cell", "mean", "inverse", "factor", "v")
+    return mine.join(small(state), "cell", "left").withColumn("d2", _distance("v", "mean", "inverse")).drop("cell", "mean", "inverse", "factor", "free", "v")
 
 
 def assess(docs: DataFrame) -> DataFrame:

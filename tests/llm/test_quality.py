@@ -47,3 +47,28 @@ def test_outliers(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.assess(docs).collect()}
     assert all(got[i] == (not bad) for i, _, _, _, bad in rows)
     assert {r["doc_id"] for r in quality.drop_rejected(docs).collect()} == {i for i, _, _, _, bad in rows if not bad}
+
+
+def test_each_statistic_rejects_alone(spark):
+    """Rows that differ from the clean ones in one statistic, and in it only, are rejected; the clean ones are not."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for k in range(2000):
+        lines = [[word() for _ in range(6)] for _ in range(12)]
+        kind = k % 100
+        if kind == 0:  # double lines; of six words, so that no window of eight repeats
+            lines = lines[:6] + lines[5::-1]
+        elif kind == 1:  # a quarter of the characters are digits
+            lines = [[w if i % 3 else "1" * len(w) for i, w in enumerate(x)] for x in lines]
+        elif kind == 2:  # a tenth are symbols
+            lines = [[w if i % 2 else w + "#" for i, w in enumerate(x)] for x in lines]
+        rows.append((k, "\n".join(" ".join(x) for x in lines), "en", "a", kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind int")
+    got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    for kind in (0, 1, 2):
+        assert not any(got[i]["kept"] for i, *_, k in rows if k == kind), kind
+    assert sum(not got[i]["kept"] for i, *_, k in rows if k > 2) <= 20
