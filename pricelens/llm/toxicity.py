@@ -36,6 +36,12 @@ def cleaned(word: str) -> str:
     return _NOT_LETTERS.sub("", word)
 
 
+def parts_of(word: str) -> list[str]:
+    """The words that punctuation joins, where it joins any."""
+    parts = _NOT_LETTERS.split(word)
+    return [p for p in parts if len(p) >= ORDER] if len(parts) > 1 else []
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text in lower case, and letters that stand alone put together."""
     low = text.lower()
@@ -46,7 +52,8 @@ def words_of(text: str) -> list[str]:
 
 
 def units(text: str) -> list[str]:
-    return [w for w in map(cleaned, words_of(text)) if w]
+    """The words of a text as they are judged: each without its punctuation, and what stands between that."""
+    return [u for w in words_of(text) for u in dict.fromkeys([cleaned(w), *parts_of(w)]) if u]
 
 
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +257,11 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.landmarks = model, Landmarks(model.landmarks)
         self.alpha, self.known = np.array(model.alpha), {}
+        limit = (math.log(THRESHOLD / (1 - THRESHOLD)) - model.offset) / model.slope if model.slope > 0 else math.inf
+        self.inside = [w for w, x in zip(model.landmarks[:TELLING], self._own(model.landmarks)) if len(w) > ORDER and x >= limit]
 
-    def margins(self, words: list[str]) -> list[float]:
-        """Of words as ``cleaned`` gives them; one that has too few letters gets the offset alone."""
+    def _own(self, words: list[str]) -> list[float]:
+        """Margins of whole words."""
         if not len(self.alpha):
             return [self.model.bias] * len(words)
         out = []
@@ -260,16 +269,49 @@ class Scorer:
             out += (self.landmarks.against(words[start: start + 20_000]) @ self.alpha + self.model.bias).tolist()
         return out
 
+    def _windows(self, words: list[str]) -> list[tuple[int, str]]:
+        """Pieces of words that hold a landmark of label 1 beside another word, at every position: the landmark, or with one character
+        put in between. Pieces with characters replaced are left out: parts of ordinary words are too often like these."""
+        out: set[tuple[int, str]] = set()
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for n, own in by_length.items():
+            marks = [m for m in self.inside if n >= len(m) + ORDER]
+            rows = max(1, 2_000_000 // max(1, n))
+            for start in range(0, len(own) if marks else 0, rows):
+                some = own[start: start + rows]
+                chars = np.array([words[k] for k in some], f"U{n}").view(np.uint32).reshape(len(some), n)
+                for m in marks:
+                    count = np.zeros((len(some), n + 1), np.int32)
+                    np.cumsum(np.isin(chars, np.array(list(map(ord, set(m))), np.uint32)), axis=1, out=count[:, 1:])
+                    for size in (len(m), len(m) + 1):
+                        for r, i in zip(*np.nonzero(count[:, size:] - count[:, :-size] >= len(m))):
+                            piece = words[some[r]][i: i + size]
+                            if piece == m or any(piece[:j] + piece[j + 1:] == m for j in range(1, len(m))):
+                                out.add((some[r], piece))
+        return list(out)
+
+    def margins(self, words: list[str]) -> list[float]:
+        """Of words as ``cleaned`` gives them, or of the part of a longer word that stands out most; one that has too few letters gets the offset alone."""
+        out = self._own(words)
+        windows = self._windows(words)
+        each = list(dict.fromkeys(p for _, p in windows))
+        margin = dict(zip(each, self._own(each)))
+        for k, p in windows:
+            out[k] = max(out[k], margin[p])
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.known = {}
         known, best = self.known, []
         lists = [set(words_of(t)) for t in texts]
         new = list(dict.fromkeys(w for x in lists for w in x if w not in known))
-        letters = list(map(cleaned, new))
-        fresh = [w for w in dict.fromkeys(letters) if w not in known]
+        letters = [[cleaned(w), *parts_of(w)] for w in new]
+        fresh = [w for w in dict.fromkeys(u for x in letters for u in x) if w not in known]
         known.update(zip(fresh, self.margins(fresh)))
-        known.update(zip(new, map(known.__getitem__, letters)))
+        known.update([(w, max(map(known.__getitem__, x))) for w, x in zip(new, letters)])
         for x in lists:
             best.append(max(map(known.__getitem__, x), default=self.model.bias))
         return 1 / (1 + np.exp(-np.clip(self.model.slope * np.array(best) + self.model.offset, -40, 40)))
@@ -301,7 +343,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, score): the probability of label 1 for every whole text, from the most toxic word of its most toxic sentence.
 
     The kernel of two words is the gap-weighted subsequence kernel of order 3: inserted characters lengthen spans and
-    so lower the value smoothly; punctuation inside words is left out, letters that stand alone are also read as one word. A
+    so lower the value smoothly; punctuation inside words is left out and also read as an end of words, letters that stand alone
+    are also read as one word, and words written together are also judged in pieces of a landmark's length at every position. A
     word is described by its kernel values with the landmarks, whitened by the landmarks' own kernel matrix (Nyström), and
     judged by a linear support vector machine; a word longer than WINDOW by its overlapping windows. Null or empty text: no sentence, the machine's offset alone. Repeated rows
     stay. Empty table: empty result. Other columns are ignored.

@@ -70,3 +70,14 @@ def test_nothing_to_learn(spark, hard):
     labels = spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     m = toxicity.train(hard, labels, F.lit(False))
     assert all(r["score"] < toxicity.THRESHOLD for r in toxicity.score(hard, m).collect())
+
+
+def test_insults_inside_other_text(model):
+    """Insults that no white space sets off: joined by punctuation, written together, or disguised in a text without blanks."""
+    m, rows = model
+    bad = ["then fool/idiot,moron there", "then hello...idiot", "moron-then", "then_idiot_then", "then helloidiot there", "thereidiotthereandthenagainthere",
+           "and" * 40 + "scumbag" + "then" * 40, "thenandthere" * 3 + "idxiot" + "thenandthere" * 3]
+    clean = ["then/there,and", "thenandthere" * 20, "".join(w for t, y in rows[:60] if not y for w in t.split())]
+    scores = toxicity.Scorer(m).scores(bad + clean)
+    assert all(s >= toxicity.THRESHOLD for s in scores[: len(bad)]), list(zip(bad, scores))
+    assert all(s < toxicity.THRESHOLD for s in scores[len(bad):]), scores[len(bad):]
