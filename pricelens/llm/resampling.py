@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import settled, stored
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 10, "2024"
 #: Words and pairs of the head, and the longest word in it (bytes): they bound what is broadcast, all other features are hashed directly.
@@ -69,7 +69,7 @@ class Vocabulary:
 
 
 def frequent(texts: DataFrame, pairs: bool, head: int, longest: int = LONGEST) -> list[tuple[bytes, ...]]:
-    """The most frequent words (or pairs of neighbouring words) of the column ``text``, most frequent first, ties by bytes."""
+    """The words (or pairs of neighbouring words) of the column ``text`` that make up at least one in ``head`` of all, so ``head`` at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
@@ -89,9 +89,11 @@ def frequent(texts: DataFrame, pairs: bool, head: int, longest: int = LONGEST) -
         if seen:
             yield flushed()
 
-    counted = texts.mapInArrow(run, "feature binary, n long").where(F.octet_length("feature") <= (2 * longest if pairs else longest))
-    top = counted.groupBy("feature").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "feature").limit(head)
-    return [tuple(bytes(r[0]).split(b" ")) for r in top.select("feature").collect()]
+    counted = settled(texts.mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    short = F.octet_length("feature") <= (2 * longest if pairs else longest)
+    # at most ``head`` features can have this share
+    return [tuple(bytes(r[0]).split(b" ")) for r in counted.where(short & (F.col("n") * head >= total)).select("feature").collect()]
 
 
 def vocabulary(texts: DataFrame, longest: int, buckets: int, head: int = HEAD, head_pairs: int = HEAD_PAIRS) -> Vocabulary:
