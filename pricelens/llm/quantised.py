@@ -17,7 +17,7 @@ from .simhash import thinned
 THRESHOLD = 0.95
 #: Bytes of vectors in a block; a task holds two blocks. Vectors of a tile. Open pairs computed at a time.
 BLOCK_BYTES, TILE, PAIRS = 32 << 20, 512, 1 << 18
-#: The cut tree: vectors it is fitted on, directions it cuts along, and most levels. It decides which block a vector is in, never what links.
+#: The cut tree: about as many vectors it is fitted on, directions it cuts along, and most levels. It decides which block a vector is in, never what links.
 SAMPLE, DIRECTIONS, LEVELS = 8_192, 8, 12
 #: Least levels, so that small tables are dealt over several tasks too.
 LEAST_LEVELS = 3
@@ -217,11 +217,11 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD, block_bytes: int | Non
     products are as many as pairs of near tiles, quadratic where the boxes exclude nothing.
     """
     kind = "<f4" if dict(nodes.dtypes)["vector"] == "array<float>" else "<f8"
-    sample = nodes.orderBy(F.xxhash64("node"), "node").select("vector").limit(SAMPLE).toPandas()["vector"]
+    n = nodes.count()
+    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n))) < SAMPLE).select("vector").toPandas()["vector"]
     usual = sample.map(len).mode()
     dims = int(usual.iloc[0]) if len(usual) else 1
     held = max(TILE, (block_bytes or BLOCK_BYTES) // (dims * int(kind[-1])))
-    n = nodes.count()
     levels = int(np.clip(math.ceil(math.log2(max(1, n) / held)) if n > held else 0, LEAST_LEVELS, LEVELS))
     tree = CutTree(np.stack([np.asarray(v, np.float64) for v in sample if len(v) == dims]) if len(sample) else np.zeros((0, dims)), levels)
     placed = settled(nodes.select("node", "copies", "vector").mapInPandas(_leaves(tree, kind), "node long, copies long, leaf int, p array<double>, vector binary"))
