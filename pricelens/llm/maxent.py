@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -9,25 +10,24 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Classes of the softmax, words in each. The last class holds all other words and the unknown one.
+#: Classes of the first softmax, words in each. The last class holds all other words, in classes of their own, and the unknown one.
 CLASSES, WIDTH = 32, 64
 HEAD = (CLASSES - 1) * WIDTH
 #: Words whose counts every task has; those of the rest are joined.
 KNOWN = 1 << 16
 #: Context symbols: the head's words, other words by their ending, and the beginning of a text.
-ENDINGS = 64
+ENDINGS = 256
 BEGIN = HEAD + ENDINGS
 SYMBOLS = BEGIN + 1
-#: Rows of the hashed tables: pairs of context symbols for the class, symbol and class for the word.
-PAIR_ROWS, WORD_ROWS = 1 << 13, 1 << 13
-#: Gradient updates, and their step.
-ROUNDS, RATE = 6, 0.35
+#: Gradient updates, and their step; updates of the classes beyond the head.
+ROUNDS, RATE, TAIL_ROUNDS = 6, 0.35, 50
 #: Tokens handled at a time, and distinct words a task holds before it hands on its counts.
 CHUNK, HELD = 1 << 18, 500_000
 #: Statistics that a task takes for one gradient.
@@ -37,12 +37,29 @@ BLOCKS = 64
 #: The token that ends a text; no word is empty.
 END = b""
 
-# rows of the class table: bias, previous symbol, the one before (skip), hashed pair
+# rows of the class table: bias, previous symbol, the one before (skip), then those of hashed pairs;
+# rows of the word table: bias of each class, then those of hashed (previous symbol, class)
 _PREVIOUS, _SKIP, _PAIR = 1, 1 + SYMBOLS, 1 + 2 * SYMBOLS
-CLASS_SHAPE = (_PAIR + PAIR_ROWS, CLASSES)
-# rows of the word table: bias of each class, hashed (previous symbol, class)
-WORD_SHAPE = (CLASSES - 1 + WORD_ROWS, WIDTH)
-N_CLASS, N_WORD = CLASS_SHAPE[0] * CLASS_SHAPE[1], WORD_SHAPE[0] * WORD_SHAPE[1]
+
+
+def hashed_rows(distinct: int) -> int:
+    """Rows of each hashed table: a power of two, about eight to sixteen times the square root of the number of words."""
+    return 1 << max(10, math.ceil(math.log2(8 * math.sqrt(max(1, distinct)))))
+
+
+def sizes(rows: int) -> tuple[int, int]:
+    """Weights of the class table and of the word table."""
+    return (_PAIR + rows) * CLASSES, (CLASSES - 1 + rows) * WIDTH
+
+
+def tail_classes(distinct: int) -> int:
+    """Classes of the words beyond the head: the square root of the number of words."""
+    return max(1, math.isqrt(max(0, distinct - 1)) + 1)
+
+
+def tail_class(word: bytes, n: int) -> int:
+    """Words that end alike are in one class."""
+    return zlib.crc32(word[-3:]) % n
 
 
 def tokens(text: str) -> list[bytes]:
@@ -66,6 +83,14 @@ class Vocabulary:
     rest: int
     once: int
 
+    @property
+    def rows(self) -> int:
+        return hashed_rows(self.distinct)
+
+    @property
+    def tails(self) -> int:
+        return tail_classes(self.distinct)
+
     def unknown(self) -> float:
         """Probability of the unknown word within the last class: the share of words met once."""
         if not self.rest:
@@ -83,6 +108,8 @@ class Reader:
         self.cls = np.where(rank < min(n, HEAD), rank // WIDTH, CLASSES - 1).astype(np.int64)
         self.symbol = np.array([k if k < HEAD else _ending(w) for k, w in enumerate(v.words)] + [-1], np.int64)
         self.cls[-1] = CLASSES - 1
+        self.tails = v.tails
+        self.tail = np.array([tail_class(w, v.tails) for w in v.words] + [-1], np.int64)
         self.counts = np.array([*v.counts, 0], np.float64)
         self.place = np.full(SYMBOLS * SYMBOLS, -1, np.int32)
 
@@ -116,6 +143,14 @@ class Reader:
         two[np.minimum(s + 1, len(two) - 1)] = BEGIN
         return toks, word, one, two, s, rows, out
 
+    def tail_of(self, toks: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of words beyond the head, their classes)."""
+        at = np.flatnonzero(self.cls[word] == CLASSES - 1)
+        c = self.tail[word[at]]
+        new = np.flatnonzero(c < 0)
+        c[new] = [zlib.crc32(toks[k][-3:]) % self.tails for k in at[new].tolist()]
+        return at, c
+
     def contexts(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs as numbers, and each position's place among them, by a table over all pairs instead of a sort."""
         code = one * SYMBOLS + two
@@ -127,14 +162,16 @@ class Reader:
         return distinct, at
 
 
-def _class_rows(code: np.ndarray) -> list[np.ndarray]:
-    one, two = code // SYMBOLS, code % SYMBOLS
-    pair = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PAIR_ROWS
-    return [_PREVIOUS + one, _SKIP + two, _PAIR + pair]
+def _hashed(code: np.ndarray, rows: int) -> np.ndarray:
+    return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(36)).astype(np.int64) % rows
+
+
+def _class_rows(code: np.ndarray, rows: int) -> list[np.ndarray]:
+    return [_PREVIOUS + code // SYMBOLS, _SKIP + code % SYMBOLS, _PAIR + _hashed(code, rows)]
 
 
-def _word_rows(one: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return CLASSES - 1 + ((one * CLASSES + cls).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % WORD_ROWS
+def _word_rows(one: np.ndarray, cls: np.ndarray, rows: int) -> np.ndarray:
+    return CLASSES - 1 + _hashed(one * CLASSES + cls, rows)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -145,16 +182,18 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 class Weights:
     def __init__(self, flat: np.ndarray):
-        self.cls, self.word = flat[:N_CLASS].reshape(CLASS_SHAPE), flat[N_CLASS:].reshape(WORD_SHAPE)
+        self.rows = (len(flat) - sum(sizes(0))) // (CLASSES + WIDTH)
+        n, _ = sizes(self.rows)
+        self.cls, self.word = flat[:n].reshape(-1, CLASSES), flat[n:].reshape(-1, WIDTH)
 
     def classes(self, code: np.ndarray) -> np.ndarray:
         """Log probabilities of the classes in each context."""
-        x = self.cls[0] + sum(self.cls[r] for r in _class_rows(code))
+        x = self.cls[0] + sum(self.cls[r] for r in _class_rows(code, self.rows))
         return _log_softmax(x)
 
     def words(self, one: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Log probabilities of a head class's words after each symbol."""
-        return _log_softmax(self.word[cls] + self.word[_word_rows(one, cls)])
+        return _log_softmax(self.word[cls] + self.word[_word_rows(one, cls, self.rows)])
 
 
 # ------------------------------------------------------------------------------------------------------------ counts
@@ -200,55 +239,105 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in top], [n for _, n in top], sums["t"] or 0, sums["v"] or 0, (sums["t"] or 0) - head, max(0, once))
 
 
+def _packed(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Statistics as rows of up to a million keys and counts."""
+    for s in range(0, len(key), 1 << 20):
+        k, c = key[s: s + (1 << 20)].astype("<i8"), n[s: s + (1 << 20)].astype("<i4")
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([len(k)], pa.int64()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["kind", "size", "key", "n"])
+
+
+PACKED = "kind byte, size long, key binary, n binary"
+
+
 def _statistics(shared):
-    """Counts of (context, class) and (previous symbol, word of the head): what the likelihood depends on. Summed per task."""
+    """Counts of (context, class), (previous symbol, word of the head) and (previous symbol, class beyond the head): what the
+    likelihood depends on. Summed per task and packed, a few rows for millions of statistics."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
-        codes, classes, ns = [], [], []
-        words = np.zeros(SYMBOLS * HEAD, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        words, tails = np.zeros(SYMBOLS * HEAD, np.int64), np.zeros(SYMBOLS * reader.tails, np.int64)
 
-        def merged():
-            key = np.concatenate(codes) * CLASSES + np.concatenate(classes)
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, np.concatenate(ns)).astype(np.int64)
-
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for s in range(0, len(key), 1 << 20):
-                k = key[s: s + (1 << 20)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k), pa.array(n[s: s + (1 << 20)])], names=["kind", "key", "n"])
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
 
         for batch in batches:
-            for _, word, one, two, _, _, _ in reader.chunks((k, t.as_py() or "") for k, t in enumerate(batch.column(0))):
+            for toks, word, one, two, _, _, _ in reader.chunks((k, t.as_py() or "") for k, t in enumerate(batch.column(0))):
                 code, at = reader.contexts(one, two)
                 per = np.bincount(at * CLASSES + reader.cls[word])
                 some = np.flatnonzero(per)
-                codes.append(code[some // CLASSES])
-                classes.append(some % CLASSES)
-                ns.append(per[some])
+                held.append((code[some // CLASSES] * CLASSES + some % CLASSES, per[some]))
                 inside = np.flatnonzero((word >= 0) & (word < HEAD))
                 words += np.bincount(one[inside] * HEAD + word[inside], minlength=len(words))
-                if sum(map(len, codes)) > 6_000_000:
+                at, c = reader.tail_of(toks, word)
+                tails += np.bincount(one[at] * reader.tails + c, minlength=len(tails))
+                if sum(len(k) for k, _ in held) > 6_000_000:
                     key, n = merged()
                     if len(key) > 3_000_000:
-                        yield from out(0, key, n)
-                        codes, classes, ns = [], [], []
+                        yield from _packed(0, key, n)
+                        held = []
                     else:
-                        codes, classes, ns = [key // CLASSES], [key % CLASSES], [n]
-        if codes:
-            yield from out(0, *merged())
-        some = np.flatnonzero(words)
-        yield from out(1, some, words[some])
+                        held = [(key, n)]
+        if held:
+            yield from _packed(0, *merged())
+        for kind, table in ((1, words), (2, tails)):
+            some = np.flatnonzero(table)
+            yield from _packed(kind, some, table[some])
 
     return run
 
 
+def _tail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, n in zip(batch.column("key"), batch.column("n")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key.as_py(), "<i8")), pa.array(np.frombuffer(n.as_py(), "<i4").astype(np.int64))], names=["key", "n"])
+
+
+def _tail_symbol(tails: int, total: np.ndarray):
+    """The classes' log probabilities after one symbol: gradient updates of its row of weights, from the classes' own counts on."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = np.zeros(tails)
+        seen[pdf["key"].to_numpy() % tails] = pdf["n"]
+        bias, row, rows = np.log(total + 0.5), np.zeros(tails), seen.sum()
+        for _ in range(TAIL_ROUNDS):
+            x = bias + row
+            expected = np.exp(x - x.max())
+            expected *= rows / expected.sum()
+            # the step is scaled by a weight's own counts; ten more hold weights with few counts near the classes' shares
+            row += 2 * RATE * (seen - expected - 0.1 * row) / (seen + expected + 10.0)
+        x = bias + row
+        x -= x.max()
+        x -= np.log(np.exp(x).sum())
+        return pd.DataFrame({"symbol": [int(pdf["symbol"].iloc[0])], "x": [x.astype("<f4").tobytes()]})
+
+    return run
+
+
+def train_tail(stats: DataFrame, v: Vocabulary, totals: np.ndarray) -> np.ndarray:
+    """Log probabilities of the classes beyond the head, a row for each previous symbol: SYMBOLS times the square root of the
+    number of words. Each symbol's row is fitted by a task of its own; a symbol not met has the classes' shares."""
+    keyed = stats.where("kind = 2").mapInArrow(_tail_rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    fitted = keyed.withColumn("symbol", F.floor(F.col("key") / v.tails).cast("int")).groupBy("symbol").applyInPandas(_tail_symbol(v.tails, totals), "symbol int, x binary")
+    shares = np.log((totals + 0.5) / (totals + 0.5).sum()).astype(np.float32)
+    out = np.tile(shares, (SYMBOLS, 1))
+    for r in fitted.collect():
+        out[r["symbol"]] = np.frombuffer(r["x"], "<f4")
+    return out
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and each element's place among them."""
+    new = np.r_[True, x[1:] != x[:-1]]
+    return x[new], np.cumsum(new) - 1
+
+
 def _gradient(shared):
     """Observed minus expected counts of every weight under the current weights, and observed plus expected, summed over a task's statistics."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, scales = shared.value
         w = Weights(w)
-        grad = np.zeros(N_CLASS + N_WORD, np.float64)
-        scale = np.zeros(N_CLASS + N_WORD, np.float64)
+        grad = np.zeros(sum(sizes(w.rows)), np.float64)
+        scale = np.zeros(len(grad), np.float64)
         g, s = Weights(grad), Weights(scale)
 
         def add(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -263,25 +352,25 @@ def _gradient(shared):
             return seen - expected, seen + expected
 
         for batch in batches:
-            kind, key, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for start in range(0, len(key), 200_000):
-                some = slice(start, start + 200_000)
-                c = kind[some] == 0
-                if c.any():
-                    code, at = np.unique(key[some][c] // CLASSES, return_inverse=True)
-                    d, e = tally(at, key[some][c] % CLASSES, n[some][c], w.classes(code))
-                    for to, x in ((g.cls, d), (s.cls, e))[: 1 + scales]:
-                        to[0] += x.sum(0)
-                        for rows in _class_rows(code):
-                            add(to, rows, x)
-                if not c.all():
-                    one, word = key[some][~c] // HEAD, key[some][~c] % HEAD
-                    pair, at = np.unique(one * CLASSES + word // WIDTH, return_inverse=True)
-                    one, cls = pair // CLASSES, pair % CLASSES
-                    d, e = tally(at, word % WIDTH, n[some][~c], w.words(one, cls))
-                    for to, x in ((g.word, d), (s.word, e))[: 1 + scales]:
-                        add(to, cls, x)
-                        add(to, _word_rows(one, cls), x)
+            for kind, keys, counts in zip(batch.column("kind").to_pylist(), batch.column("key"), batch.column("n")):
+                keys, counts = np.frombuffer(keys.as_py(), "<i8"), np.frombuffer(counts.as_py(), "<i4")
+                for start in range(0, len(keys), 200_000):
+                    key, n = keys[start: start + 200_000], counts[start: start + 200_000]
+                    if kind == 0:
+                        code, at = _runs(key // CLASSES)
+                        d, e = tally(at, key % CLASSES, n, w.classes(code))
+                        for to, x in ((g.cls, d), (s.cls, e))[: 1 + scales]:
+                            to[0] += x.sum(0)
+                            for rows in _class_rows(code, w.rows):
+                                add(to, rows, x)
+                    else:
+                        one, word = key // HEAD, key % HEAD
+                        pair, at = _runs(one * CLASSES + word // WIDTH)
+                        one, cls = pair // CLASSES, pair % CLASSES
+                        d, e = tally(at, word % WIDTH, n, w.words(one, cls))
+                        for to, x in ((g.word, d), (s.word, e))[: 1 + scales]:
+                            add(to, cls, x)
+                            add(to, _word_rows(one, cls, w.rows), x)
         both = [(0, grad)] + [(1, scale)] * scales
         parts = [(kind * BLOCKS + k, x.astype(np.float32).tobytes()) for kind, flat in both for k, x in enumerate(np.array_split(flat, BLOCKS))]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["block", "x"])
@@ -300,7 +389,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def initial(v: Vocabulary) -> np.ndarray:
     """Biases from the counts; places without a word get none of the probability."""
-    flat = np.zeros(N_CLASS + N_WORD, np.float32)
+    flat = np.zeros(sum(sizes(v.rows)), np.float32)
     w = Weights(flat)
     head = np.zeros(HEAD)
     head[: min(HEAD, len(v.counts))] = v.counts[:HEAD]
@@ -309,16 +398,18 @@ def initial(v: Vocabulary) -> np.ndarray:
     return flat
 
 
-def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
-    """The weights. The statistics are counted once and stored; each round every task gives the gradient of its part at the
-    current weights, the parts are summed by blocks, and the driver, which holds the weights (4 MB, whatever the input), takes a
-    step scaled by each weight's own counts."""
+def train(docs: DataFrame, v: Vocabulary, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, log probabilities of the classes beyond the head). The statistics are counted once and stored; each round every task
+    gives the gradient of its part at the current weights, the parts are summed by blocks, and the driver, which holds the weights
+    (96 floats for each hashed row, so they grow with the square root of the vocabulary), takes a step scaled by each weight's own
+    counts."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(v)
-    stats = stored(docs.select("text").mapInArrow(_statistics(shared), "kind byte, key long, n long"))
+    every = stored(docs.select("text").mapInArrow(_statistics(shared), PACKED))
+    stats = every.where("kind < 2")
     # tasks that are worth the size of a gradient
-    tasks = max(1, -(-stats.count() // STATISTICS))
-    stats = stats.coalesce(tasks) if tasks < stats.rdd.getNumPartitions() else stats
+    tasks = max(1, -(-(stats.agg(F.sum("size")).first()[0] or 0) // STATISTICS))
+    stats = stats.repartition(tasks)
     flat, scale = initial(v), None
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast((flat, k == 0))
@@ -329,7 +420,7 @@ def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
         if k == 0:
             scale = np.concatenate([got[BLOCKS + b] for b in range(BLOCKS)])
         flat = (flat + RATE * np.concatenate([got[b] for b in range(BLOCKS)]) / (scale + 10.0) * (1 + 1.0 * (k > 0))).astype(np.float32)
-    return flat
+    return flat, train_tail(every, v, totals)
 
 
 # ------------------------------------------------------------------------------------------------------------ scores
@@ -337,11 +428,12 @@ def train(docs: DataFrame, v: Vocabulary) -> np.ndarray:
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = shared.value
+        v, flat, tails, totals = shared.value
         reader, w = Reader(v), Weights(flat)
         ln10, floor = np.log(10), v.total + v.distinct + 1
         base_of = np.log((reader.counts + 1) / floor) / ln10
-        tail_of = np.log(np.maximum(reader.counts, 1) / max(1, v.rest) * (1 - v.unknown()) + 1e-300) / ln10
+        # a word's share of its class, without the count where the class isn't known yet
+        share = np.log((1 - v.unknown()) / np.maximum(totals, 1) + 1e-300)
         names = ["doc_id", "tk", "tok", "tf", "n_tokens", "n_known", "base", "score"]
         types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
@@ -353,55 +445,75 @@ def _scores(shared):
                 inside = np.flatnonzero(cls < CLASSES - 1)
                 pair, where = np.unique(one[inside] * CLASSES + cls[inside], return_inverse=True)
                 score[inside] += w.words(pair // CLASSES, pair % CLASSES)[where, word[inside] % WIDTH] / ln10
-                tail = np.flatnonzero((cls == CLASSES - 1) & (word >= 0))
-                score[tail] += tail_of[word[tail]]
+                tail, c = reader.tail_of(toks, word)
+                known = np.zeros(len(word))
+                known[tail] = (tails[one[tail], c] + share[c]) / ln10
+                in_list = word[tail] >= 0
+                score[tail[in_list]] += known[tail[in_list]] + np.log(reader.counts[word[tail[in_list]]]) / ln10
                 base = base_of[word]
                 base[out] = 0.0  # joined later
                 size = np.diff(np.r_[starts, len(toks)])
-                known = np.add.reduceat((word >= 0).astype(np.int64), starts)
                 r = pa.array(rows)
                 none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays([ids.take(r), tks.take(r), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(size), pa.array(known),
+                yield pa.RecordBatch.from_arrays([ids.take(r), tks.take(r), none.cast(pa.binary()), none.cast(pa.int64()), pa.array(size), pa.array(np.add.reduceat((word >= 0).astype(np.int64), starts)),
                                                   pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts))], names=names)
                 if len(out):
                     doc = np.searchsorted(starts, out, "right") - 1
-                    tf = Counter(zip(doc.tolist(), map(toks.__getitem__, out.tolist())))
-                    r = pa.array([rows[d] for d, _ in tf])
-                    none = [pa.nulls(len(tf)).cast(t) for t in types[4:]]
-                    yield pa.RecordBatch.from_arrays([ids.take(r), tks.take(r), pa.array([t for _, t in tf], pa.binary()), pa.array(list(tf.values()), pa.int64()), *none], names=names)
+                    index: dict[tuple[int, bytes], int] = {}
+                    at = np.array([index.setdefault(k, len(index)) for k in zip(doc.tolist(), map(toks.__getitem__, out.tolist()))])
+                    r = pa.array([rows[d] for d, _ in index])
+                    none = pa.nulls(len(index))
+                    yield pa.RecordBatch.from_arrays([ids.take(r), tks.take(r), pa.array([t for _, t in index], pa.binary()), pa.array(np.bincount(at)), *(none.cast(t) for t in types[4:7]),
+                                                      pa.array(np.bincount(at, known[out]))], names=names)
 
     return run
 
 
+def class_totals(counts: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Tokens of each class beyond the head: as many rows as classes reach the driver."""
+    out = np.zeros(v.tails, np.int64)
+    last = F.substring("tok", F.greatest(F.lit(1), F.octet_length("tok") - 2), F.lit(3))
+    for c, n in counts.groupBy((F.crc32(last) % v.tails).alias("c")).agg(F.sum("n")).collect():
+        out[c] = n
+    for word, n in zip(v.words[:HEAD], v.counts[:HEAD]):
+        out[tail_class(word, v.tails)] -= n
+    return out
+
+
 def score(docs: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of every whole text under a model learnt from the rows where ``learn`` holds.
 
     Tokens are words without ASCII white space, A-Z lower-cased, and an end. The model's outcomes are the base's: the words
     met in training and one unknown word. P(word | context) = P(class | context) P(word | class, context): 31 classes of 64
-    frequent words each, and one for all others. Classes depend on the two symbols before, on each alone (the farther one is a
-    skip feature) and on their hashed pair; a head class's words on the symbol before, hashed with the class. Within the last
-    class a word has its share of the class's tokens, and the unknown word the share of words met once.
+    frequent words each, and one for all others, which has about as many classes again as the square root of the number of words,
+    by the words' last three bytes. The first 32 classes depend on the two symbols before, on each alone (the farther one is a
+    skip feature) and on their hashed pair; a head class's words on the symbol before, hashed with the class; the classes beyond
+    on the symbol before. Within a class beyond the head a word has its share of the class's tokens, and the unknown word, which
+    has no class, the share of words met once among all beyond the head. Hashed rows, too, grow with the square root of the number
+    of words.
 
     Counts of the 65,536 most frequent words are with every task; for the others a text's words join the counts, a word
     as often as it occurs in the text only once. Null or empty text: the end alone. Null doc_id stays null (and learns by
-    ``learn``). Repeated rows: one row per (doc_id, text) comes back, but learning counts each. Nothing to learn from: the
-    unknown word has all the probability. Empty table: empty result. Other columns are ignored.
+    ``learn``). Repeated rows are counted and given back each. Nothing to learn from: the unknown word has all the probability.
+    Empty table: empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text"))
-    seen = base.where(learn)
+    seen = docs.where(learn).select("text")
     counts = stored(word_counts(seen))
     v = vocabulary(counts)
-    shared = spark.sparkContext.broadcast((v, train(seen, v)))
+    totals = class_totals(counts, v)
+    shared = spark.sparkContext.broadcast((v, *train(seen, v, totals), totals))
     parts = stored(base.mapInArrow(_scores(shared), "doc_id long, tk long, tok binary, tf long, n_tokens long, n_known long, base double, score double"))
     u, floor = v.unknown(), float(v.total + v.distinct + 1)
-    rest = parts.where("tok is not null").select("doc_id", "tk", "tok", "tf").join(counts, "tok", "left")
+    rest = parts.where("tok is not null").select("doc_id", "tk", "tok", "tf", "score").join(counts, "tok", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
-    per = F.when(c > 0, F.log10(c * (1 - u) / max(1, v.rest) + 1e-300)).otherwise(float(np.log10(u)))
+    per = F.when(c > 0, F.col("score") + F.col("tf") * F.log10(c)).otherwise(F.col("tf") * float(np.log10(u)))
     rest = rest.select("doc_id", "tk", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("tf")).otherwise(0).alias("n_known"),
-                       (F.col("tf") * F.log10((c + 1) / floor)).alias("base"), (F.col("tf") * per).alias("score"))
+                       (F.col("tf") * F.log10((c + 1) / floor)).alias("base"), per.alias("score"))
     whole = parts.where("tok is null").select("doc_id", "tk", F.lit(1).cast("long").alias("rows"), "n_tokens", "n_known", "base", "score")
     sums = whole.unionByName(rest).groupBy("doc_id", "tk").agg(*[F.sum(x).alias(x) for x in ("rows", "n_tokens", "n_known", "base", "score")])
-    return sums.select(
+    each = sums.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return each.select(
         "doc_id", *[(F.col(x) / F.col("rows")).cast("long").alias(x) for x in ("n_tokens", "n_known")], F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
