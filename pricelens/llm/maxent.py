@@ -12,6 +12,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ ROUNDS, RATE, TAIL_ROUNDS = 6, 0.35, 50
 #: Tokens handled at a time, and distinct words a task holds before it hands on its counts.
 CHUNK, HELD = 1 << 18, 500_000
 #: Statistics that a task takes for one gradient.
-STATISTICS = 2_000_000
+STATISTICS = 4_000_000
 #: Parts in which gradients are summed.
 BLOCKS = 64
 #: The token that ends a text; no word is empty.
@@ -240,10 +241,18 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _packed(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Statistics as rows of up to a million keys and counts."""
+    """Statistics as rows of up to a million keys, as distances to the key before, and counts, compressed."""
     for s in range(0, len(key), 1 << 20):
         k, c = key[s: s + (1 << 20)].astype("<i8"), n[s: s + (1 << 20)].astype("<i4")
-        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([len(k)], pa.int64()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["kind", "size", "key", "n"])
+        k = np.diff(k, prepend=np.int64(0))
+        packed = [pa.array([zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)], pa.binary()) for x in (k, c)]
+        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int8()), pa.array([len(k)], pa.int64()), *packed], names=["kind", "size", "key", "n"])
+
+
+def _unpacked(key: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys and their counts."""
+    planes = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T for x, size in ((key, 8), (n, 4))]
+    return np.cumsum(np.ascontiguousarray(planes[0]).view("<i8").ravel()), np.ascontiguousarray(planes[1]).view("<i4").ravel()
 
 
 PACKED = "kind byte, size long, key binary, n binary"
@@ -290,7 +299,8 @@ def _statistics(shared):
 def _tail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, n in zip(batch.column("key"), batch.column("n")):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key.as_py(), "<i8")), pa.array(np.frombuffer(n.as_py(), "<i4").astype(np.int64))], names=["key", "n"])
+            key, n = _unpacked(key.as_py(), n.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
 
 def _tail_symbol(tails: int, total: np.ndarray):
@@ -353,7 +363,7 @@ def _gradient(shared):
 
         for batch in batches:
             for kind, keys, counts in zip(batch.column("kind").to_pylist(), batch.column("key"), batch.column("n")):
-                keys, counts = np.frombuffer(keys.as_py(), "<i8"), np.frombuffer(counts.as_py(), "<i4")
+                keys, counts = _unpacked(keys.as_py(), counts.as_py())
                 for start in range(0, len(keys), 200_000):
                     key, n = keys[start: start + 200_000], counts[start: start + 200_000]
                     if kind == 0:
@@ -372,7 +382,7 @@ def _gradient(shared):
                             add(to, cls, x)
                             add(to, _word_rows(one, cls, w.rows), x)
         both = [(0, grad)] + [(1, scale)] * scales
-        parts = [(kind * BLOCKS + k, x.astype(np.float32).tobytes()) for kind, flat in both for k, x in enumerate(np.array_split(flat, BLOCKS))]
+        parts = [(kind * BLOCKS + k, zstandard.compress(x.astype(np.float32).tobytes(), 1)) for kind, flat in both for k, x in enumerate(np.array_split(flat, BLOCKS))]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["block", "x"])
 
     return run
@@ -382,7 +392,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+            x = np.frombuffer(zstandard.decompress(x.as_py()), np.float32).astype(np.float64)
             held[k] = held[k] + x if k in held else x
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in held.values()], pa.binary())], names=["block", "x"])
 
@@ -409,7 +419,7 @@ def train(docs: DataFrame, v: Vocabulary, totals: np.ndarray) -> tuple[np.ndarra
     stats = every.where("kind < 2")
     # tasks that are worth the size of a gradient
     tasks = max(1, -(-(stats.agg(F.sum("size")).first()[0] or 0) // STATISTICS))
-    stats = stats.repartition(tasks)
+    stats = stats.coalesce(tasks) if tasks < stats.rdd.getNumPartitions() else stats
     flat, scale = initial(v), None
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast((flat, k == 0))
