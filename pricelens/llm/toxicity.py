@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 #: Length of the subsequences, what each position of their span is worth, characters compared at a time, power of the kernel.
 ORDER, DECAY, WINDOW, POWER = 3, 0.8, 20, 3
-#: Landmarks: words that tell toxic rows apart, and frequent others.
-TELLING, NEUTRAL = 64, 8
+#: Most landmarks: words that tell toxic texts apart. Of all words, so many are expected to be as telling by chance.
+TELLING, CHANCE = 128, 1.0
+#: Kernel values below count as none; a landmark that no word of a text labelled 0 comes nearer to than this stands for an insult by
+#: itself; how often one landmark counts in a text.
+FAINT, ALONE, OFTEN = 0.1, 0.3, 3.0
+#: Share of the weight that clean texts with one insult put in have in the fit, and as many with one in disguise.
+PUT_IN = 0.15
 #: Most labelled rows of each label that the fit takes.
 SAMPLE = 3000
-#: Words whose margins a worker remembers; when full it starts anew, which changes no result.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, and those of them that resemble a landmark; when full it starts anew, which changes no result.
+REMEMBERED, RESEMBLING = 1_000_000, 100_000
 THRESHOLD = 0.7
 #: Stands for any inserted character.
 ANY = "\x01"
@@ -144,7 +149,7 @@ class Landmarks:
         return out**POWER
 
 
-def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 500) -> np.ndarray:
+def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 500) -> np.ndarray:
     """Linear support vector machine: weighted squared hinge loss, accelerated gradient; the last column of x is 1."""
     top = np.linalg.eigvalsh((x * weight[:, None]).T @ x / weight.sum())[-1]
     rate, u, v = 1.0 / (2 * top + ridge), np.zeros(x.shape[1]), np.zeros(x.shape[1])
@@ -156,24 +161,48 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from margins to probabilities, a fifth of the weight on label 1, with smoothed targets."""
+    """Slope and offset of the logistic curve from margins to probabilities, a fifth of the weight on label 1, with smoothed targets.
+
+    Newton steps, each halved until the loss falls; where they don't settle, the curve isn't one and that is an error.
+    """
     p, n = y.sum(), (~y).sum()
     t = np.where(y, (p + 1) / (p + 2), 1 / (n + 2))
-    x, ab, weight = np.c_[f, np.ones_like(f)], np.array([1.0, 0.0]), np.where(y, 0.2 / p, 0.8 / n) * len(y)
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        g, h = x.T @ (weight * (q - t)), (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2)
-        ab = ab - np.clip(np.linalg.solve(h, g), -2, 2)
-    return float(ab[0]), float(ab[1])
+    spread = max(1e-9, float(np.std(f)))
+    x, ab, weight = np.c_[(f - f.mean()) / spread, np.ones_like(f)], np.zeros(2), np.where(y, 0.2 / p, 0.8 / n)
+
+    def loss(ab: np.ndarray) -> float:
+        z = x @ ab
+        return float((weight * (np.logaddexp(0, z) - t * z)).sum() + 1e-9 * ab @ ab)
+
+    now = loss(ab)
+    for _ in range(200):
+        q = 1 / (1 + np.exp(-np.clip(x @ ab, -500, 500)))
+        g = x.T @ (weight * (q - t)) + 2e-9 * ab
+        if np.abs(g).max() < 1e-7:
+            break
+        step, size = np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 2e-9 * np.eye(2), g), 1.0
+        while size > 1e-12 and (then := loss(ab - size * step)) > now - 1e-4 * size * (g @ step):
+            size /= 2
+        if size <= 1e-12:
+            break
+        ab, now = ab - size * step, then
+    if np.abs(g).max() > 1e-4:
+        raise RuntimeError("calibration did not settle")
+    return float(ab[0] / spread), float(ab[1] - ab[0] * f.mean() / spread)
 
 
 class Model:
-    def __init__(self, landmarks: list[str], alpha: list[float], bias: float, slope: float, offset: float):
-        self.landmarks, self.alpha, self.bias, self.slope, self.offset = landmarks, alpha, bias, slope, offset
+    """``weights``: for each landmark that of its sum and that of its largest value; ``alone``: landmarks that are insults by themselves."""
+
+    def __init__(self, landmarks: list[str], weights: list[float], bias: float, slope: float, offset: float, alone: list[str]):
+        self.landmarks, self.weights, self.bias, self.slope, self.offset, self.alone = landmarks, weights, bias, slope, offset, alone
+
 
+def chosen(texts: list[list[str]], toxic: np.ndarray) -> list[str]:
+    """Landmarks: words by how much oftener texts labelled 1 have them, in standard errors, near equals left out.
 
-def chosen(texts: list[list[str]], toxic: np.ndarray) -> tuple[list[str], dict[str, float]]:
-    """Landmarks: words by how much oftener texts labelled 1 have them, in standard errors, near equals left out; then frequent words."""
+    Only those that chance doesn't explain: among all words tried, less than CHANCE are expected to be as one-sided.
+    """
     pos, neg = Counter(), Counter()
     for t, y in zip(texts, toxic):
         (pos if y else neg).update({w for w in t if ORDER <= len(w) < WINDOW})
@@ -183,7 +212,18 @@ def chosen(texts: list[list[str]], toxic: np.ndarray) -> tuple[list[str], dict[s
         share = (pos[w] + neg[w] + 0.5) / (p + n + 1)
         return (pos[w] / p - neg[w] / n) / math.sqrt(share * (1 - share) * (1 / p + 1 / n))
 
-    ranked = sorted(((excess(w), w) for w in pos if pos[w] * n > 4 * neg[w] * p), reverse=True)
+    share = p / (p + n)
+
+    def unlikely(w: str) -> bool:
+        """So many or more of the word's texts are labelled 1 by chance at most CHANCE times in all the words."""
+        k, all_ = pos[w], pos[w] + neg[w]
+        tail, term = 0.0, math.exp(math.lgamma(all_ + 1) - math.lgamma(k + 1) - math.lgamma(all_ - k + 1) + k * math.log(share) + (all_ - k) * math.log(1 - share))
+        for i in range(k, all_ + 1):
+            tail += term
+            term *= (all_ - i) / (i + 1) * share / (1 - share)
+        return tail * len(pos) < CHANCE
+
+    ranked = sorted(((excess(w), w) for w in pos if pos[w] * n > 4 * neg[w] * p and unlikely(w)), reverse=True)
     out: list[str] = []
     maps: list[dict[int, float]] = []
     for _, w in ranked[: 20 * TELLING]:
@@ -193,85 +233,80 @@ def chosen(texts: list[list[str]], toxic: np.ndarray) -> tuple[list[str], dict[s
             maps.append(m)
         if len(out) == TELLING:
             break
-    return out + [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if w not in out][:NEUTRAL], {w: excess(w) for w in pos}
+    return out
+
+
+def _faint(values: np.ndarray) -> np.ndarray:
+    return np.where(values >= FAINT, values, 0).astype(np.float32)
+
+
+def _pooled(values: np.ndarray) -> np.ndarray:
+    """A text from its different words' kernel values: for each landmark the sum of what exceeds FAINT, and the largest value."""
+    if not len(values):
+        return np.zeros(2 * values.shape[1], np.float32)
+    return np.r_[np.minimum(OFTEN, np.maximum(0, values - FAINT).sum(0) / (1 - FAINT)), values.max(0)].astype(np.float32)
+
+
+def _with_word(pooled: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Pooled texts with one more word each."""
+    n = values.shape[1]
+    return np.c_[np.minimum(OFTEN, pooled[:, :n] + np.maximum(0, values - FAINT) / (1 - FAINT)), np.maximum(pooled[:, n:], values)]
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """From labelled texts, as a latent machine: the margin of a sentence is that of its most toxic word, and a text's that of its
-    most toxic sentence. Every word of the texts labelled 0 is negative. Of a text labelled 1 the word that stands out most is
-    positive, and any other beyond all negative ones; which these are is settled in three rounds, the first by how much
-    oftener texts labelled 1 have the word."""
+    """From labelled texts: a linear machine over what ``_pooled`` makes of a text, so the kernel of a text and a landmark is the sum of
+    the word kernels, and its largest. Labelled texts have several insults, and none in disguise; so that one of those is enough,
+    clean texts with one insult put in, as it is and with a character more, count as label 1, too. These insults are landmarks
+    that no word of a text labelled 0 resembles."""
     rows = list(dict(rows).items())  # copies once
     toxic = np.array([bool(y) for _, y in rows], bool)
+    nothing = Model([], [], 0.0, 0.0, math.log((toxic.sum() + 1) / ((~toxic).sum() + 1)) if len(rows) else -3.0, [])
     if not toxic.any() or toxic.all():
-        return Model([], [], 0.0, 0.0, math.log((toxic.sum() + 1) / ((~toxic).sum() + 1)) if len(rows) else -3.0)
-    texts = [list(units(t)) for t, _ in rows]
-    words, excess = chosen(texts, toxic)
+        return nothing
+    texts = [list(dict.fromkeys(units(t))) for t, _ in rows]
+    words = chosen(texts, toxic)
+    if not words:
+        return nothing
     every = sorted({w for t in texts for w in t})
-    at = {w: k for k, w in enumerate(every)}
-    bags = [np.array(sorted({at[w] for w in t}), np.int64) for t in texts]
-    gram = np.array([[_dot(a, b) ** POWER for b in maps] for maps in [list(map(subsequences, words))] for a in maps])
-    low, vec = np.linalg.eigh(gram)
-    root = (vec @ np.diag(1 / np.sqrt(np.maximum(low, 0.05))) @ vec.T).astype(np.float32)
-    marks = Landmarks(words)
-
-    def whitened(z: np.ndarray) -> np.ndarray:
-        out = np.ones((len(z), z.shape[1] + 1), np.float32)
-        np.matmul(z, root, out=out[:, :-1])
-        return out
-
-    raw = marks.against(every)
-    phi = whitened(raw)
-    clean = np.unique(np.concatenate([b for b, y in zip(bags, toxic) if not y] or [np.zeros(0, np.int64)]))
-    score = np.array([excess.get(w, 0.0) for w in every])
-    score[clean] = np.minimum(score[clean], 0.0)
-    # words with next to nothing in common with any landmark are as good as one without letters, that many times
-    near = clean[raw[clean][:, :TELLING].max(1) > 0.05]
-    nothing = np.r_[np.zeros(len(words)), 1.0].astype(np.float32)[None]
-    limit = np.inf
-    for _ in range(3):
-        best = np.array([b[np.argmax(score[b])] for b, y in zip(bags, toxic) if y and len(b)])
-        seen = np.unique(np.concatenate([b for b, y in zip(bags, toxic) if y]))
-        found = np.setdiff1d(np.union1d(best, seen[score[seen] > limit]), clean)
-        if not len(found):
-            break
-        # each also with one character, of any kind, put in between
-        gapped = whitened(marks.against([w[:i] + ANY + w[i:] for w in map(every.__getitem__, found.tolist()) if len(w) < WINDOW - 1 for i in range(1, len(w))]))
-        x = np.r_[phi[found], gapped, phi[near], nothing]
-        n = len(found), len(gapped), len(near) + 1
-        y = np.r_[np.ones(n[0] + n[1]), -np.ones(n[2])].astype(np.float32)
-        each = [np.full(k, share / max(1, k), np.float32) for k, share in zip(n, (0.25, 0.25, 0.5 * len(near) / len(clean) if len(clean) else 0.5))]
-        each[2][-1] = 0.5 * (len(clean) - len(near)) / max(1, len(clean)) + 1e-6
-        u = _descend(x, y, np.concatenate(each))
-        score = phi @ u
-        limit = max(0.0, float(score[clean].max(initial=0.0)))
-    else:
-        top = np.array([score[b].max() if len(b) else u[-1] for b in bags])
-        hidden = (gapped @ u)[:: max(1, len(gapped) // 2000)]  # disguised words count in the calibration as texts do
-        slope, offset = _platt(np.r_[top, hidden], np.r_[toxic, np.ones(len(hidden), bool)])
-        return Model(words, (root @ u[:-1]).tolist(), float(u[-1]), slope, offset)
-    return Model([], [], 0.0, 0.0, math.log((toxic.sum() + 1) / ((~toxic).sum() + 1)))
+    at, marks = {w: k for k, w in enumerate(every)}, Landmarks(words)
+    values = _faint(marks.against(every))
+    bags = [np.array([at[w] for w in t], np.int64) for t in texts]
+    x = np.array([_pooled(values[b]) for b in bags])
+    clean = values[np.unique(np.concatenate([b for b, y in zip(bags, toxic) if not y] or [np.zeros(0, np.int64)]))]
+    alone = np.flatnonzero(clean.max(0, initial=0.0) < ALONE)
+    extra, share = [], [0.5 - PUT_IN * bool(len(alone))]
+    if len(alone):
+        own = _faint(marks.against([words[k] for k in alone]))
+        gapped = _faint(marks.against([words[k][:i] + ANY + words[k][i:] for k in alone for i in range(1, len(words[k]))]))
+        pick = np.random.default_rng(0)
+        for v in (own, gapped):
+            v = np.tile(v, (-(-200 // len(v)), 1))
+            extra.append(_with_word(x[~toxic][pick.integers(0, (~toxic).sum(), len(v))], v))
+            share.append(PUT_IN / 2)
+    parts = [x[toxic], *extra, x[~toxic]]
+    z, y = np.concatenate(parts), np.repeat([True] * (len(parts) - 1) + [False], list(map(len, parts)))
+    weight = np.concatenate([np.full(len(p), w / len(p)) for p, w in zip(parts, [*share, 0.5])])
+    u = _descend(np.c_[z, np.ones(len(z))], np.where(y, 1.0, -1.0), weight)
+    slope, offset = _platt(z @ u[:-1] + u[-1], y)
+    return Model(words, u[:-1].tolist(), float(u[-1]), slope, offset, [words[k] for k in alone])
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.landmarks = model, Landmarks(model.landmarks)
-        self.alpha, self.known = np.array(model.alpha), {}
-        limit = (math.log(THRESHOLD / (1 - THRESHOLD)) - model.offset) / model.slope if model.slope > 0 else math.inf
-        self.inside = [w for w, x in zip(model.landmarks[:TELLING], self._own(model.landmarks)) if len(w) > ORDER and x >= limit]
-
-    def _own(self, words: list[str]) -> list[float]:
-        """Margins of whole words."""
-        if not len(self.alpha):
-            return [self.model.bias] * len(words)
-        out = []
-        for start in range(0, len(words), 20_000):
-            out += (self.landmarks.against(words[start: start + 20_000]) @ self.alpha + self.model.bias).tolist()
-        return out
+        self.weights = np.array(model.weights)
+        self.inside = [w for w in model.alone if len(w) > ORDER]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Of each word the rows of its units, of each unit its row; units that resemble no landmark have none.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.unit: dict[str, int] = {}
+        self.rows, self.used = np.zeros((1024, len(self.model.landmarks)), np.float32), 0
 
     def _windows(self, words: list[str]) -> list[tuple[int, str]]:
-        """Pieces of words that hold a landmark of label 1 beside another word, at every position: the landmark, or with one character
-        put in between. Pieces with characters replaced are left out: parts of ordinary words are too often like these."""
+        """Pieces of words that hold an insult beside another word, at every position: the insult, or with one character put in
+        between. Pieces with characters replaced are left out: parts of ordinary words are too often like these."""
         out: set[tuple[int, str]] = set()
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
@@ -292,29 +327,40 @@ class Scorer:
                                 out.add((some[r], piece))
         return list(out)
 
-    def margins(self, words: list[str]) -> list[float]:
-        """Of words as ``cleaned`` gives them, or of the part of a longer word that stands out most; one that has too few letters gets the offset alone."""
-        out = self._own(words)
+    def _values(self, words: list[str]) -> np.ndarray:
+        """Kernel values of words as ``cleaned`` gives them, where higher those of the pieces of a longer word."""
+        out = np.zeros((len(words), len(self.model.landmarks)), np.float32)
+        for start in range(0, len(words), 20_000):
+            out[start: start + 20_000] = _faint(self.landmarks.against(words[start: start + 20_000]))
         windows = self._windows(words)
         each = list(dict.fromkeys(p for _, p in windows))
-        margin = dict(zip(each, self._own(each)))
+        of = dict(zip(each, _faint(self.landmarks.against(each)))) if each else {}
         for k, p in windows:
-            out[k] = max(out[k], margin[p])
+            out[k] = np.maximum(out[k], of[p])
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        letters = [[u for u in dict.fromkeys([cleaned(w), *parts_of(w)]) if u] for w in words]
+        fresh = [u for u in dict.fromkeys(u for x in letters for u in x) if u not in self.unit]
+        values = self._values(fresh)
+        some = np.flatnonzero(values.any(1))
+        self.unit.update(dict.fromkeys(fresh, -1))
+        while self.used + len(some) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.used: self.used + len(some)] = values[some]
+        self.unit.update((fresh[k], self.used + i) for i, k in enumerate(some.tolist()))
+        self.used += len(some)
+        self.known.update((w, tuple(r for u in x if (r := self.unit[u]) >= 0)) for w, x in zip(words, letters))
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, best = self.known, []
+        if not self.model.landmarks:
+            return np.full(len(texts), 1 / (1 + math.exp(-self.model.offset)))
+        if len(self.known) > REMEMBERED or self.used > RESEMBLING:
+            self._forget()
         lists = [set(words_of(t)) for t in texts]
-        new = list(dict.fromkeys(w for x in lists for w in x if w not in known))
-        letters = [[cleaned(w), *parts_of(w)] for w in new]
-        fresh = [w for w in dict.fromkeys(u for x in letters for u in x) if w not in known]
-        known.update(zip(fresh, self.margins(fresh)))
-        known.update([(w, max(map(known.__getitem__, x))) for w, x in zip(new, letters)])
-        for x in lists:
-            best.append(max(map(known.__getitem__, x), default=self.model.bias))
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * np.array(best) + self.model.offset, -40, 40)))
+        self._learn(list(dict.fromkeys(w for x in lists for w in x if w not in self.known)))
+        margin = np.array([_pooled(self.rows[sorted({r for w in x for r in self.known[w]})]) @ self.weights for x in lists]) + self.model.bias
+        return 1 / (1 + np.exp(-np.clip(self.model.slope * margin + self.model.offset, -40, 40)))
 
 
 _SCORERS: dict[tuple, Scorer] = {}
@@ -322,7 +368,7 @@ _SCORERS: dict[tuple, Scorer] = {}
 
 def _scorer(model: Model) -> Scorer:
     """The worker's own, with the words it knows from earlier tasks."""
-    key = (tuple(model.landmarks), tuple(model.alpha), model.slope, model.offset)
+    key = (tuple(model.landmarks), tuple(model.weights), model.slope, model.offset)
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(model)
@@ -340,14 +386,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the probability of label 1 for every whole text, from the most toxic word of its most toxic sentence.
+    """(doc_id, score): the probability of label 1 for every whole text.
 
     The kernel of two words is the gap-weighted subsequence kernel of order 3: inserted characters lengthen spans and
     so lower the value smoothly; punctuation inside words is left out and also read as an end of words, letters that stand alone
-    are also read as one word, and words written together are also judged in pieces of a landmark's length at every position. A
-    word is described by its kernel values with the landmarks, whitened by the landmarks' own kernel matrix (Nyström), and
-    judged by a linear support vector machine; a word longer than WINDOW by its overlapping windows. Null or empty text: no sentence, the machine's offset alone. Repeated rows
-    stay. Empty table: empty result. Other columns are ignored.
+    are also read as one word, and in words written together insults are also looked for at every position. A text is described
+    by the kernel's sum and largest value over its different words, for each landmark (Nyström without whitening), and judged by a linear
+    support vector machine; a word longer than WINDOW by its overlapping windows. Null or empty text: no words, the machine's offset
+    alone. Repeated rows stay. Empty table: empty result. Other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _scorer(model)
