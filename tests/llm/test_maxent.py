@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from pricelens.llm import maxent
@@ -119,7 +120,7 @@ def test_gradient_is_that_of_the_likelihood():
         value = (flat, False)
 
     out = next(iter(maxent._gradient(Sent)(iter([batch]))))
-    grad = np.concatenate([np.frombuffer(x.as_py(), np.float32) for _, x in sorted(zip(out.column(0).to_pylist(), out.column(1)), key=lambda p: p[0])])
+    grad = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), np.float32) for _, x in sorted(zip(out.column(0).to_pylist(), out.column(1)), key=lambda p: p[0])])
 
     def likelihood(f):
         w = maxent.Weights(f.astype(np.float64))
