@@ -98,12 +98,16 @@ def carry_forward(
     order: Iterable[str] = SNAPSHOT_ORDER,
     sizes: DataFrame | None = None,
     hot_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``{new: source}`` with the last non-null source strictly before each row (as-of lookup).
 
-    Hot keys are cut into slices like in ``with_previous``.
+    Hot keys are cut into slices like in ``with_previous``; not where ``rows``, an upper bound of the rows of ``df``, rules them out.
     """
     order = list(order)
+    if rows is not None and rows <= (hot_rows or hot_rows_setting(df)):
+        before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({new: F.last(source, ignorenulls=True).over(before) for new, source in values.items()})
     hot_rows = hot_rows or hot_rows_setting(df)
     hot = hot_key_slices(df if sizes is None else sizes, key, order[0], hot_rows)
     seq = sliced = slice_hot_keys(df, hot, key, order[0])

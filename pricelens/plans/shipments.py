@@ -146,44 +146,68 @@ def newest_first(checks: DataFrame, key: list[str]) -> DataFrame:
     return dated.withColumn("_own", own).join(before, [*key, "_day"]).withColumn("k", F.col("_before") + F.col("_own")).drop("_day", "_own", "_before")
 
 
-def provider_health(checks: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """Running health per tenant and provider.
+HEALTH_KEY = ["org_id", "provider"]
 
-    The exponential average is a weighted sum over all checks, newest first; streaks and times are plain grouped passes.
+
+def health_fold(checks: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Unrounded running health per tenant and provider after ``checks``, all newer than ``state`` (a result of this function).
+
+    The exponential average is a weighted sum over all checks, newest first, so parts of it add up: a state decays by 0.8 for each
+    check after it. Streaks and times are plain grouped passes. A provider's checks are spread over tasks by day.
     """
-    key = ["org_id", "provider"]
+    key = HEALTH_KEY
     c = checks.where(F.col("state") != "robots_disallowed")
     order = F.struct("checked_at", "check_id")
     ok, captcha = F.col("state") == "success", F.col("state") == "captcha"
     base = c.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n"), F.max("checked_at").alias("last_check_at"), F.max(F.when(ok, F.col("checked_at"))).alias("last_success_at"),
+        F.count(F.lit(1)).alias("n"), F.max(order).alias("last"), F.max(F.when(ok, F.col("checked_at"))).alias("last_success_at"),
         F.max(F.when(~ok, F.col("checked_at"))).alias("last_failure_at"), F.max(F.when(ok, order)).alias("_ok"),
     )
-    bounds = base.select(*key, "_ok")
-    hard = c.where(~ok & ~captcha).join(bounds, key).where(F.col("_ok").isNull() | (order > F.col("_ok")))
+    hard = c.where(~ok & ~captcha).join(base.select(*key, "_ok"), key).where(F.col("_ok").isNull() | (order > F.col("_ok")))
     streak = hard.groupBy(*key).agg(F.count(F.lit(1)).alias("streak"))
     tail = newest_first(c, key).join(base.select(*key, "n"), key)
-    old = previous.select(*key, F.col("success_rate").alias("p_success"), F.col("captcha_rate").alias("p_captcha"), F.col("avg_duration_ms").alias("p_ms"), F.col("consecutive_failures").alias("p_streak")) if previous is not None else None
-    if old is not None:
-        tail = tail.join(old, key, "left")
-    started = F.col("p_success").isNotNull() if old is not None else F.lit(False)
+    if state is not None:
+        old = state.select(*key, *[F.col(x).alias(f"o_{x}") for x in state.columns if x not in key])
+        tail = tail.join(old.select(*key, "o_s"), key, "left")
+        started = F.col("o_s").isNotNull()
+    else:
+        started = F.lit(False)
     # the very first check has full weight instead of a fifth
     share = F.when((F.col("k") == F.col("n")) & ~started, F.lit(1.0)).otherwise(0.2)
     w = F.pow(F.lit(0.8), (F.col("k") - 1).cast("double")) * share
     ema = tail.groupBy(*key).agg(
         F.sum(F.when(ok, w).otherwise(0.0)).alias("s"), F.sum(F.when(captcha, w).otherwise(0.0)).alias("c"), F.sum(w * F.col("duration_ms")).alias("ms"))
-    j = base.join(ema, key).join(streak, key, "left")
-    s, cap, ms, run = F.col("s"), F.col("c"), F.col("ms"), F.coalesce("streak", F.lit(0))
-    if old is not None:
-        j = j.join(old, key, "left")
-        decay = F.pow(F.lit(0.8), F.col("n").cast("double"))
-        part = lambda p: F.coalesce(F.col(p).cast("double") * decay, F.lit(0.0))
-        s, cap, ms = s + part("p_success"), cap + part("p_captcha"), ms + part("p_ms")
-        run = run + F.when(F.col("_ok").isNull(), F.coalesce("p_streak", F.lit(0))).otherwise(0)
-    j = j.withColumns({"success_rate": S.rnd(s, 4), "captcha_rate": S.rnd(cap, 4), "avg_duration_ms": S.rnd(ms, 0), "consecutive_failures": run})
-    state = F.when(s >= 0.7, "healthy").when(s >= 0.3, "degraded").otherwise("unhealthy")
-    off = F.when(F.col("consecutive_failures") >= DISABLE_STREAK, F.col("last_check_at") + F.make_dt_interval(mins=F.lit(DISABLE_MINUTES)))
-    return j.select(*key, "success_rate", "captcha_rate", "avg_duration_ms", "consecutive_failures", state.alias("state"), "last_success_at", "last_failure_at", off.alias("disabled_until"))
+    j = base.join(ema, key).join(streak, key, "left").withColumn("streak", F.coalesce("streak", F.lit(0)).cast("bigint"))
+    cols = ["n", "last", "last_success_at", "last_failure_at", "s", "c", "ms", "streak"]
+    if state is None:
+        return j.select(*key, *cols)
+    j = j.join(old, key, "full_outer")
+    decay = F.pow(F.lit(0.8), F.coalesce("n", F.lit(0)).cast("double"))
+    added = lambda x: (F.coalesce(x, F.lit(0.0)) + F.coalesce(F.col(f"o_{x}").cast("double") * decay, F.lit(0.0))).alias(x)
+    later = lambda x: F.greatest(x, f"o_{x}").alias(x)
+    run = F.coalesce("streak", F.lit(0)) + F.when(F.col("_ok").isNull(), F.coalesce("o_streak", F.lit(0))).otherwise(0)
+    return j.select(
+        *key, (F.coalesce("n", F.lit(0)) + F.coalesce("o_n", F.lit(0))).alias("n"), F.coalesce("last", "o_last").alias("last"), later("last_success_at"), later("last_failure_at"),
+        added("s"), added("c"), added("ms"), run.cast("bigint").alias("streak"))
+
+
+def health_view(state: DataFrame) -> DataFrame:
+    """Rates, label and pause of each provider, rounded for showing."""
+    label = F.when(F.col("s") >= 0.7, "healthy").when(F.col("s") >= 0.3, "degraded").otherwise("unhealthy")
+    off = F.when(F.col("streak") >= DISABLE_STREAK, F.col("last.checked_at") + F.make_dt_interval(mins=F.lit(DISABLE_MINUTES)))
+    return state.select(
+        *HEALTH_KEY, S.rnd(F.col("s"), 4).alias("success_rate"), S.rnd(F.col("c"), 4).alias("captcha_rate"), S.rnd(F.col("ms"), 0).alias("avg_duration_ms"),
+        F.col("streak").alias("consecutive_failures"), label.alias("state"), "last_success_at", "last_failure_at", off.alias("disabled_until"))
+
+
+def provider_health(checks: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Running health per tenant and provider after ``checks``, starting from a state of ``health_fold`` (or from rows that this
+    function gave earlier, as exact as those are rounded)."""
+    if state is not None and "success_rate" in state.columns:
+        state = state.select(
+            *HEALTH_KEY, F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("struct<checked_at: timestamp, check_id: bigint>").alias("last"), "last_success_at", "last_failure_at",
+            F.col("success_rate").alias("s"), F.col("captcha_rate").alias("c"), F.col("avg_duration_ms").alias("ms"), F.col("consecutive_failures").alias("streak"))
+    return health_view(health_fold(checks, state))
 
 
 def excerpt(text, number, limit: int | None = None, before: int | None = None) -> Column:

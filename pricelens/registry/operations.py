@@ -101,7 +101,7 @@ SELECT org_id, (SELECT count(*) FROM listings x WHERE x.org_id = o.org_id AND ac
   array_to_string(list_transform((SELECT list(listing_id ORDER BY listing_id) FROM listings x WHERE x.org_id = o.org_id AND active AND last_scraped_at < (SELECT as_of - INTERVAL 48 HOUR FROM clock))[1:20], lambda i: CAST(i AS VARCHAR)), ',') AS stale_ids,
   substr(sha1(org_id || '|stale|' || (SELECT strftime(CAST(as_of AS DATE), '%Y-%m-%d') FROM clock)), 1, 32) AS dedup_key FROM organizations o""")
 def _(t):
-    return AL.alerts_stale(t).withColumn("stale_ids", F.array_join(F.transform("stale_ids", lambda i: i.cast("string")), ","))
+    return AL.alerts_stale(t, ids=20).withColumn("stale_ids", F.array_join(F.transform("stale_ids", lambda i: i.cast("string")), ","))
 
 
 @query("m09_alert_dedup", """
