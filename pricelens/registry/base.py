@@ -202,7 +202,7 @@ cte("discovery_runs", """
 SELECT o_orderkey AS run_id, CAST(CASE WHEN o_custkey % 5 < 3 THEN 0 ELSE 1 END AS BIGINT) AS org_id, o_custkey % 5 AS store_id,
   CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status, o_orderdate + INTERVAL 95 DAY AS started_at,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 95 DAY + to_minutes(o_orderkey % 90) END AS finished_at
-FROM orders WHERE o_orderpriority = '1-URGENT'""")
+FROM orders""")
 cte("discovery_products", """
 SELECT listing_id AS product_id, part_id AS run_id, store_id, url, 'https://store' || store_id || '.example/p/' || part_id AS normalized_url, title,
   last_snapshot_price AS price, last_snapshot_availability AS availability, image_url, brand,

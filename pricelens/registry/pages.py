@@ -40,7 +40,7 @@ def _(t):
 REACH = """
 WITH RECURSIVE l AS (SELECT DISTINCT url AS from_url, 'https://store' || store_id || '.example/p/' || (part_id + i) AS to_url FROM pp, (VALUES (1), (2), (3)) x(i)
   UNION SELECT DISTINCT url, 'https://store' || store_id || '.example/shop/x' FROM pp UNION SELECT DISTINCT url, 'https://store' || store_id || '.example' || '/' FROM pp UNION SELECT DISTINCT url, url || '?page=2' FROM pp),
-s AS (SELECT DISTINCT 'https://store' || store_id || '.example/p/' || part_id AS start_url FROM pp WHERE part_id % 50 = 0),
+s AS (SELECT DISTINCT 'https://store' || store_id || '.example/p/' || part_id AS start_url FROM pp),
 r AS (SELECT start_url, start_url AS url, 0 AS depth FROM s UNION SELECT r.start_url, l.to_url, r.depth + 1 FROM r JOIN l ON l.from_url = r.url WHERE r.depth < 3 AND (r.depth < 1 OR regexp_matches(l.to_url, '/(p|shop)/')))
 SELECT start_url, url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1, 2"""
 
@@ -48,7 +48,7 @@ SELECT start_url, url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY 1, 2"
 @query("k04_frontier", REACH)
 def _(t):
     edges = PG.links(t.product_pages).select("from_url", "to_url")
-    starts = t.product_pages.where(F.floor(F.col("page_id") / 5) % 50 == 0).select(F.concat(F.lit("https://store"), F.col("store_id").cast("string"), F.lit(".example/p/"), F.floor(F.col("page_id") / 5).cast("string")).alias("start_url"))
+    starts = t.product_pages.select(F.concat(F.lit("https://store"), F.col("store_id").cast("string"), F.lit(".example/p/"), F.floor(F.col("page_id") / 5).cast("string")).alias("start_url"))
     return PG.reachable(edges, starts, 3).withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -162,7 +162,7 @@ def _(t):
 SELECT page_id, 'Item' AS name, 'Home / ' || brand AS path, CAST(NULL AS BIGINT) AS estimate, CAST(kind <> 2 AS BIGINT) AS products_found, CAST(CASE WHEN kind <> 2 THEN 0.85 ELSE 0.55 END AS DOUBLE) AS confidence FROM pp
 UNION ALL SELECT -1 - page_id, {_inner('h1')}, array_to_string(list_filter(string_split(regexp_extract(bare, '^https?://[^/]+(.*)$', 1), '/'), lambda s: s <> ''), ' / '), NULL, 0, 0.55 FROM page_hosts""")
 def _(t):
-    own = PG.page_categories(t.product_pages, PG.card_stats(PG.merge_cards(t.product_pages)))
+    own = PG.page_categories(t.product_pages, cards=True)
     return own.unionByName(PG.page_categories(t.pages.withColumn("page_id", -1 - F.col("page_id")))).drop("crumbs")
 
 
@@ -186,7 +186,7 @@ def _(t):
 SELECT page_id, CASE kind WHEN 2 THEN 'js_heavy' WHEN 3 THEN 'hybrid' ELSE 'static_html' END AS strategy, CASE kind WHEN 2 THEN 'playwright_primary' WHEN 3 THEN 'playwright_fallback' ELSE 'cheerio' END AS scraping_mode,
   CAST(CASE kind WHEN 2 THEN 0.76 WHEN 3 THEN 0.72 ELSE 0.78 END AS DOUBLE) AS confidence, CASE kind WHEN 3 THEN 'nextjs' ELSE 'custom' END AS framework, CAST(kind <> 2 AS BIGINT) AS cards FROM pp""")
 def _(t):
-    return PG.rendering(t.product_pages, PG.card_stats(PG.merge_cards(t.product_pages)))
+    return PG.rendering(t.product_pages)
 
 
 @query("k21_scrape_profile", f"""
@@ -196,15 +196,16 @@ g AS (SELECT host, count(*) AS pages, bool_or(b) AS b, bool_or(js) AS js FROM p
 SELECT host, pages, CASE WHEN js THEN 'high' ELSE 'low' END AS crawl_difficulty, CASE WHEN b THEN 'high' ELSE 'low' END AS anti_bot_risk, CASE WHEN js THEN 'low' ELSE 'medium' END AS stability,
   CAST(CASE WHEN b THEN 10 WHEN js THEN 7 ELSE 5 END AS BIGINT) AS delay_seconds, CASE WHEN NOT b AND NOT js THEN 'balanced' ELSE 'safe' END AS crawl_preset FROM g""")
 def _(t):
-    return PG.scrape_profile(t.pages, PG.rendering(t.pages, PG.card_stats(PG.merge_cards(t.pages))))
+    return PG.scrape_profile(t.pages)
 
 
 @query("k22_store_metadata", f"""
-WITH p AS (SELECT *, regexp_replace(regexp_extract(origin, '^https?://(.*)$', 1), '^www\\.', '') AS domain FROM page_hosts), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY domain ORDER BY page_id) = 1),
-n AS (SELECT *, trim(regexp_replace({_inner('h1')}, '\\s+(?:[|–—-])\\s+.*$', '')) AS nm, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM f)
+WITH p AS (SELECT *, regexp_replace(regexp_extract(origin, '^https?://(.*)$', 1), '^www\\.', '') AS domain FROM page_hosts), f AS (SELECT domain, page_id, html, trim(regexp_replace({_inner('h1')}, '\\s+(?:[|–—-])\\s+.*$', '')) AS nm, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM p),
+n AS (SELECT domain, arg_min(nm, page_id) FILTER (WHERE length(nm) BETWEEN 2 AND 80) AS nm, arg_min(language, page_id) FILTER (WHERE language IS NOT NULL) AS language,
+  arg_min(CASE WHEN contains(html, '€') THEN 'EUR' WHEN contains(html, '$') THEN 'USD' ELSE 'GBP' END, page_id) FILTER (WHERE contains(html, '€') OR contains(html, '$') OR contains(html, '£')) AS money FROM f GROUP BY 1)
 SELECT domain, CASE WHEN nm IS NULL OR length(nm) < 2 OR length(nm) > 80 THEN upper(regexp_replace(split_part(domain, '.', 1), '[-_]+', ' ', 'g')) ELSE nm END AS name,
   CASE language WHEN 'de' THEN 'DE' WHEN 'en' THEN 'US' WHEN 'fr' THEN 'FR' WHEN 'es' THEN 'ES' ELSE 'DE' END AS country_code,
-  CASE WHEN contains(html, '€') THEN 'EUR' WHEN contains(html, '$') THEN 'USD' WHEN contains(html, '£') THEN 'GBP' ELSE 'EUR' END AS currency, language FROM n""")
+  coalesce(money, 'EUR') AS currency, language FROM n""")
 def _(t):
     return PG.store_metadata(t.pages)
 

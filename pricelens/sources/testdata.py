@@ -345,7 +345,7 @@ def exports(t, raw) -> DataFrame:
 
 def discovery_runs(t, raw) -> DataFrame:
     k, store = F.col("o_orderkey"), F.col("o_custkey") % 5
-    r = raw("orders").where(F.col("o_orderpriority") == "1-URGENT")
+    r = raw("orders")
     created = _ordered_at()
     return r.select(
         k.alias("run_id"), _org(store).alias("org_id"), store.alias("store_id"),
