@@ -110,8 +110,11 @@ class Landmarks:
             for c, v in m.items():
                 self.weights[at[c], j] = v
 
-    def against(self, words: list[str]) -> np.ndarray:
-        """Rows of kernel values. A word longer than WINDOW takes the best of its overlapping windows; one shorter than ORDER has none."""
+    def against(self, words: list[str], least: float = 0.0) -> np.ndarray:
+        """Rows of kernel values. A word longer than WINDOW takes the best of its overlapping windows; one shorter than ORDER has none.
+
+        Values below ``least`` may come out as 0: the part of a word that lies in any landmark's subsequences bounds all its values.
+        """
         out = np.zeros((len(words), len(self.words)), np.float32)
         parts: dict[int, list[tuple[int, str]]] = {}
         for k, w in enumerate(words):
@@ -135,18 +138,26 @@ class Landmarks:
                 at = np.searchsorted(self.codes, code)
                 at[at == len(self.codes)] = 0
                 hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-                values = np.zeros((len(some), len(self.words)), np.float32)
-                if hit.any():
-                    r = row[hit]
-                    begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    values[r[begin]] = np.add.reduceat(self.weights[at[hit]] * total[hit, None].astype(np.float32), begin, axis=0)
-                values /= norm[:, None]
                 own = np.array([k for k, _ in some])
+                if least:
+                    share = np.sqrt(np.bincount(row[hit], total[hit] ** 2, len(some))) / norm
+                    near = share * (1 + 1e-6) >= least ** (1 / POWER)
+                    hit &= near[row]
+                if not hit.any():
+                    continue
+                r = row[hit]
+                begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                values = np.add.reduceat(self.weights[at[hit]] * total[hit, None].astype(np.float32), begin, axis=0)
+                r = r[begin]
+                values /= norm[r, None]
+                own = own[r]
                 if (own[1:] > own[:-1]).all():  # one part a word
                     out[own] = np.maximum(out[own], values)
                 else:
                     np.maximum.at(out, own, values)
-        return out**POWER
+        some = np.flatnonzero(out.any(1))
+        out[some] **= POWER
+        return out
 
 
 def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 500) -> np.ndarray:
@@ -330,8 +341,10 @@ class Scorer:
     def _values(self, words: list[str]) -> np.ndarray:
         """Kernel values of words as ``cleaned`` gives them, where higher those of the pieces of a longer word."""
         out = np.zeros((len(words), len(self.model.landmarks)), np.float32)
-        for start in range(0, len(words), 20_000):
-            out[start: start + 20_000] = _faint(self.landmarks.against(words[start: start + 20_000]))
+        for start in range(0, len(words), 5_000):
+            found = self.landmarks.against(words[start: start + 5_000], FAINT)
+            some = np.flatnonzero(found.any(1))
+            out[start + some] = _faint(found[some])
         windows = self._windows(words)
         each = list(dict.fromkeys(p for _, p in windows))
         of = dict(zip(each, _faint(self.landmarks.against(each)))) if each else {}
