@@ -66,6 +66,12 @@ def visible_lines(html) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+def element_lines(html) -> Column:
+    """Non-empty texts between tags: in a fragment without line breaks the elements part what belongs apart."""
+    text = unescape(F.regexp_replace(F.regexp_replace(col(html), DROPPED, ""), TAG, "\n"))
+    return F.filter(F.transform(F.split(text, r"\r?\n"), squeeze), lambda x: x != "")
+
+
 def visible_text(html) -> Column:
     return squeeze(unescape(F.regexp_replace(F.regexp_replace(body(html), DROPPED, ""), TAG, "")))
 
