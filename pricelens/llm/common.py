@@ -23,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of the frame is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, hash of the text) isn't among the two columns of ``bad``; all columns, whatever they are called."""
+    ident, key = fresh(docs, "_id"), fresh(docs, "_tk")
+    return docs.join(bad.distinct().toDF(ident, key), docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"]) == F.col(key)), "left_anti")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared checkpoint folder, so that lost executors cost nothing before it."""
     checkpoint_dir(df.sparkSession)

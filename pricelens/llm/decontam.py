@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settled
+from .common import ascii_lower, settled, without
 
 #: What lies between words once A-Z are lower-cased: all ASCII but digits and a-z.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,7 +102,10 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    """The rows of ``docs`` that aren't contaminated, with all their columns, whatever these are called.
+
+    A contaminated row goes with all its repetitions; null doc_ids are compared like others. Null or empty text: stays. Empty tables:
+    ``docs`` as it is.
+    """
     found = find_items(docs, items, window)
-    bad = found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("doc_id").alias("_bad_id"), F.col("t").alias("_bad_t"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs["text"]) == F.col("_bad_t")), "left_anti")
+    return without(docs, found.where(contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id", "t"))

@@ -28,7 +28,7 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
 
     Null or empty text: one empty line. Null doc_id: its lines neither count nor keep, but shared ones are dropped.
     Repeated rows: the same id counts once; every row comes back with its own text. Empty table: empty result. Other
-    columns are ignored.
+    columns are ignored; a carried column called n_lines or n_dropped takes that name.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry or [])])
     base = base.withColumn("_t", F.xxhash64("text"))
@@ -44,9 +44,9 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
         F.col("doc_id").alias("_d"), F.col("_t").alias("_dt")).agg(F.sort_array(F.collect_set("_p")).alias("_drop"))
     both = base.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")
     parts = F.split("text", "\n", -1)
+    measured = {"n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
     return both.select(
         "doc_id",
         F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(_without(parts, F.col("_drop")), "\n")).alias("text"),
-        F.size(parts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[c.alias(name) for name, c in measured.items() if name not in {x.lower() for x in carry or []}],
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])

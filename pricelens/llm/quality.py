@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, without
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -200,6 +200,9 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with all their columns."""
-    bad = assess(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tk")), "left_anti")
+    """The rows of ``docs`` that ``assess`` keeps, with all their columns, whatever these are called.
+
+    A rejected row goes with all its repetitions; null doc_ids are compared like others. Null or empty text: rejected. Empty table:
+    empty result.
+    """
+    return without(docs, assess(docs).where("not kept").select("doc_id", "tk"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import settled
+from .common import fresh, settled
 
 SHINGLE, BITS_APART, SEED = 4, 4, 42
 #: Widths of the segments on the ring; one more than the bits apart, so that a chain of n segments may differ in n * 4 / 5 bits.
@@ -199,6 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id is its component's; rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of ``docs``, with all their columns, whatever these are called, whose doc_id is its component's.
+
+    Rows without a doc_id stay. Null and empty texts are near copies of each other. Repeated rows of the doc_id that stays all stay.
+    Empty table: empty result.
+    """
+    name = fresh(docs, "_gone")
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(name), "left_anti")
