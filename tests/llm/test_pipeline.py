@@ -47,7 +47,7 @@ def test_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
 
 
 def test_hard_rows_go_through(spark, hard):
@@ -56,3 +56,19 @@ def test_hard_rows_go_through(spark, hard):
         docs = stage(spark, docs, DIR)
     assert docs.select(F.count("*")).first()[0] >= 0
     assert simhash.one_of_each(hard.limit(0)).count() == 0 and decontam.drop_contaminated(hard.limit(0), table(spark, DIR, "benchmark")).count() == 0
+
+
+def test_clashing_names_and_empty_tables(spark, hard):
+    """Every stage that returns documents keeps columns called like its own private ones, and the rows it keeps without them."""
+    names = ["_id", "_tk", "n_lines", "n_dropped", "_gone", "_bad_id", "_bad_t", "_d", "_t", "a.b"]
+    plain = hard.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = plain.selectExpr("*", *[f"'{k}' AS `{n}`" for k, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DIR)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert all(r[n] == str(k) for r in rows for k, n in enumerate(names))
+        expected = stage(spark, plain, DIR).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in rows), key=repr) == sorted(((r["doc_id"], r["text"]) for r in expected), key=repr)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide.limit(0), DIR).count() == 0
