@@ -109,6 +109,27 @@ class Landmarks:
         for j, m in enumerate(maps):
             for c, v in m.items():
                 self.weights[at[c], j] = v
+        #: The characters of landmarks, and for each three of them their row in ``weights``; 0 stands for any other character.
+        self.alphabet = np.array(sorted({ord(c) for w in words for c in START + w}), np.uint32)
+        k = len(self.alphabet) + 1
+        three = [np.searchsorted(self.alphabet, self.codes >> shift & 0x1FFFFF) + 1 for shift in (42, 21, 0)]
+        self.row = np.full(k**3 if k <= 256 else 0, len(self.codes), np.int32)
+        if len(self.row):
+            self.row[(three[0] * k + three[1]) * k + three[2]] = np.arange(len(self.codes))
+
+    def _possible(self, parts: list[str], n: int, least: float) -> np.ndarray:
+        """Which words of n characters can reach ``least``: products with the landmarks over the length that a word has at least,
+        namely where no subsequence occurs twice. Nothing needs sorting for that."""
+        at, weight = PLACES[n]
+        chars = np.array(parts, f"U{n}").view(np.uint32).reshape(len(parts), n)
+        ids = np.searchsorted(self.alphabet, chars)
+        ids[ids == len(self.alphabet)] = 0
+        ids = np.where(self.alphabet[ids] == chars, ids + 1, 0).astype(np.int32)
+        k, width = len(self.alphabet) + 1, len(self.codes) + 1
+        places = self.row[(ids[:, at[:, 0]] * k + ids[:, at[:, 1]]) * k + ids[:, at[:, 2]]]
+        places += np.arange(len(parts), dtype=np.int32)[:, None] * width
+        share = np.bincount(places.ravel(), np.tile(weight, len(parts)), len(parts) * width).astype(np.float32).reshape(len(parts), width)
+        return (share @ self.weights).max(1) >= least ** (1 / POWER) * np.sqrt((weight**2).sum()) * (1 - 1e-4)
 
     def against(self, words: list[str], least: float = 0.0) -> np.ndarray:
         """Rows of kernel values. A word longer than WINDOW takes the best of its overlapping windows; one shorter than ORDER has none.
@@ -127,6 +148,10 @@ class Landmarks:
             weight = PLACES[n][1]
             for start in range(0, len(each), step := max(1, 15_000 // len(weight))):
                 some = each[start: start + step]
+                if least and len(self.row):
+                    some = [some[k] for k in np.flatnonzero(self._possible([p for _, p in some], n, least)).tolist()]
+                    if not some:
+                        continue
                 codes = _codes([p for _, p in some], n)
                 order = np.argsort(codes, axis=1)
                 codes, w = np.take_along_axis(codes, order, 1), weight[order]
@@ -310,8 +335,9 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
-        #: Of each word the rows of its units, of each unit its row; units that resemble no landmark have none.
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Words met; of those that resemble a landmark the rows of their units; of each unit its row, -1 if it has none.
+        self.known: set[str] = set()
+        self.near: dict[str, tuple[int, ...]] = {}
         self.unit: dict[str, int] = {}
         self.rows, self.used = np.zeros((1024, len(self.model.landmarks)), np.float32), 0
 
@@ -353,7 +379,7 @@ class Scorer:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        letters = [[u for u in dict.fromkeys([cleaned(w), *parts_of(w)]) if u] for w in words]
+        letters = [(w,) if w.isalpha() else tuple(u for u in dict.fromkeys([cleaned(w), *parts_of(w)]) if u) for w in words]
         fresh = [u for u in dict.fromkeys(u for x in letters for u in x) if u not in self.unit]
         values = self._values(fresh)
         some = np.flatnonzero(values.any(1))
@@ -363,7 +389,9 @@ class Scorer:
         self.rows[self.used: self.used + len(some)] = values[some]
         self.unit.update((fresh[k], self.used + i) for i, k in enumerate(some.tolist()))
         self.used += len(some)
-        self.known.update((w, tuple(r for u in x if (r := self.unit[u]) >= 0)) for w, x in zip(words, letters))
+        self.known.update(words)
+        rows = ((w, tuple(r for u in x if (r := self.unit[u]) >= 0)) for w, x in zip(words, letters))
+        self.near.update((w, r) for w, r in rows if r)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.model.landmarks:
@@ -371,8 +399,9 @@ class Scorer:
         if len(self.known) > REMEMBERED or self.used > RESEMBLING:
             self._forget()
         lists = [set(words_of(t)) for t in texts]
-        self._learn(list(dict.fromkeys(w for x in lists for w in x if w not in self.known)))
-        margin = np.array([_pooled(self.rows[sorted({r for w in x for r in self.known[w]})]) @ self.weights for x in lists]) + self.model.bias
+        self._learn(sorted(set().union(*lists) - self.known))
+        found = [dict.fromkeys(r for w in sorted(x & self.near.keys()) for r in self.near[w]) for x in lists]
+        margin = np.array([_pooled(self.rows[list(x)]) @ self.weights if x else 0.0 for x in found]) + self.model.bias
         return 1 / (1 + np.exp(-np.clip(self.model.slope * margin + self.model.offset, -40, 40)))
 
 
