@@ -34,8 +34,12 @@ def _alone(share: float) -> float:
 #: document in which they aren't: theirs let that share of symbols, double lines, repeats or digits reject alone.
 DIMS = {"word_length": 0.01, "symbols": _alone(0.05), "dup_lines": _alone(0.3), "repeats": _alone(0.3), "upper": 0.05, "digits": _alone(0.15)}
 P = len(DIMS)
-#: Share of the rows that the estimates rest on; concentration steps; rows below which a source is pooled with its language's others.
-H, STEPS, LEAST_ROWS = 0.75, 5, 200
+#: Share of the rows that the estimates rest on; concentration steps.
+H, STEPS = 0.75, 5
+#: Rows that a source's language counts for in the source's estimate, all languages in the language's, and ``WIDE`` in theirs.
+PRIOR = 200
+#: Spread of each dimension where nothing is known.
+WIDE = 2.0
 #: Sources whose estimates (half a kilobyte each) are broadcast.
 BROADCAST_CELLS = 20_000
 
@@ -118,11 +122,12 @@ def _distance(v: str, mean: str, inverse: str) -> Column:
     return total
 
 
-def _state(mean: np.ndarray, cov: np.ndarray, factor: float) -> pd.DataFrame:
-    """The factor scales the estimate, not the floors; ``free`` counts the dimensions whose spread is the estimate's rather than the floor's."""
-    full = factor * cov + np.diag(np.square(list(DIMS.values())))
-    free = float(np.trace(np.linalg.solve(full, factor * cov)))
-    return pd.DataFrame({"mean": [mean.tolist()], "inverse": [np.linalg.inv(full).ravel().tolist()], "factor": [factor], "free": [free]})
+MOMENTS = "lang string, source string, n double, mean array<double>, cov array<double>, log_factor double"
+
+
+def _moments(key: tuple, n: float, mean: np.ndarray, cov: np.ndarray, log_factor: float) -> pd.DataFrame:
+    lang, source = (None if pd.isna(k) else k for k in key)
+    return pd.DataFrame({"lang": [lang], "source": [source], "n": [float(n)], "mean": [mean.tolist()], "cov": [cov.ravel().tolist()], "log_factor": [log_factor]})
 
 
 def _start(key, bins: pd.DataFrame) -> pd.DataFrame:
@@ -133,11 +138,12 @@ def _start(key, bins: pd.DataFrame) -> pd.DataFrame:
         cum = part["n"].cumsum().to_numpy()
         at = [part["bin"].iloc[int(np.searchsorted(cum, q * cum[-1]))] * 0.02 for q in (0.25, 0.5, 0.75)]
         mean[int(k)], width[int(k)] = at[1], (at[2] - at[0]) / 1.349
-    return _state(mean, np.diag(width**2), 1.0).assign(cell=key[0])
+    return _moments(key, bins["n"].sum() / P, mean, np.diag(width**2), 0.0)
 
 
 def _step(key, bins: pd.DataFrame) -> pd.DataFrame:
-    """Mean and covariance of the nearest share H: whole bins of distance, the last one that it takes included."""
+    """Mean and second moments of the nearest share H: whole bins of distance, the last one that it takes included; and the
+    consistency factor that brings the median distance to a chi-square variable's."""
     bins = bins.sort_values("bin")
     cum = bins["n"].cumsum().to_numpy()
     last = int(np.searchsorted(cum, H * cum[-1]))
@@ -149,49 +155,85 @@ def _step(key, bins: pd.DataFrame) -> pd.DataFrame:
         for j in range(i, P):
             second[i, j] = second[j, i] = near[f"q{i}_{j}"].sum() / n
     median = 2 ** ((bins["bin"].iloc[int(np.searchsorted(cum, 0.5 * cum[-1]))] + 0.5) / 8)
-    factor, free = bins["factor"].iloc[0], bins["free"].iloc[0]
-    factor = min(max(factor * median / _chi_square(0.5, max(1.0, free)), 0.1), 10.0)
-    return _state(mean, second - np.outer(mean, mean), factor).assign(cell=key[0])
+    log_factor, free = bins["log_factor"].sum() / cum[-1], bins["free"].sum() / cum[-1]
+    log_factor += np.log(median / _chi_square(0.5, max(1.0, free)))
+    return _moments(key, cum[-1], mean, second - np.outer(mean, mean), float(np.clip(log_factor, np.log(0.1), np.log(10))))
 
 
-def robust_distances(rows: DataFrame) -> DataFrame:
-    """Adds ``d2``, the squared Mahalanobis distance from the minimum-covariance-determinant estimates of the row's cell; null without a vector or a cell.
+def _towards(own: tuple, other: tuple) -> tuple:
+    """(n, mean, covariance, logarithm of the factor), mixed with PRIOR rows like those of ``other``."""
+    w = own[0] / (own[0] + PRIOR)
+    return own[0], *(w * a + (1 - w) * b for a, b in zip(own[1:], other[1:]))
+
+
+def _estimates(whole: tuple | None):
+    """Maps moments of a source and of its language to the source's mean and inverse covariance, given those of all rows.
 
-    A cell is a language and source; those of fewer than LEAST_ROWS rows are pooled per language, and what is then still
-    smaller over all languages; a pool smaller than that gives no verdict. The search starts at medians and quartile
-    ranges and takes STEPS concentration steps: in each, every row's distance is binned (8 bins per doubling), the bins'
-    counts and moments are summed per cell with map-side combine, and the estimates of the nearest share H come from a
-    cell's bins alone, of which there are at most some hundreds. No cell's rows ever meet in one task. The consistency
+    The factor scales the estimate, not the floors; ``free`` counts the dimensions whose spread is the estimate's rather than the floor's.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                top = (0.0, whole[1], np.eye(P) * WIDE**2, 0.0)
+                language = _towards((r.n_lang, np.array(r.mean_lang), np.array(r.cov_lang).reshape(P, P), r.log_factor_lang), _towards(whole, top))
+                _, mean, cov, log_factor = _towards((r.n, np.array(r.mean), np.array(r.cov).reshape(P, P), r.log_factor), language)
+                cov = np.exp(log_factor) * cov
+                full = cov + np.diag(np.square(list(DIMS.values())))
+                out.append((r.lang, r.source, mean.tolist(), np.linalg.inv(full).ravel().tolist(), log_factor, float(np.trace(np.linalg.solve(full, cov)))))
+            yield pd.DataFrame(out, columns=["lang", "source", "mean", "inverse", "log_factor", "free"])
+
+    return run
+
+
+def _per_level(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums per source, per language (source null) and of everything (both null), from sums per source and ``keys``."""
+    none = F.lit(None).cast("string")
+    levels = F.array(*[F.struct(a.alias("lang"), b.alias("source")) for a, b in ((F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none))])
+    values = [c for c in parts.columns if c not in ("lang", "source", *keys)]
+    return parts.withColumn("level", F.explode(levels)).groupBy("level.lang", "level.source", *keys).agg(*[F.sum(c).alias(c) for c in values])
+
+
+def _state(moments: DataFrame) -> DataFrame:
+    """Estimates per source from stored moments of all levels; those of all rows, some fifty numbers, come to the driver."""
+    top = moments.where("lang is null").first()
+    whole = None if top is None else (top["n"], np.array(top["mean"]), np.array(top["cov"]).reshape(P, P), top["log_factor"])
+    languages = moments.where("lang is not null and source is null").drop("source").withColumnsRenamed({c: f"{c}_lang" for c in ("n", "mean", "cov", "log_factor")})
+    return moments.where("source is not null").join(languages, "lang").mapInPandas(
+        _estimates(whole), "lang string, source string, mean array<double>, inverse array<double>, log_factor double, free double")
+
+
+def robust_distances(rows: DataFrame) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance from the minimum-covariance-determinant estimates of the row's language and
+    source; null without a vector.
+
+    The search starts at medians and quartile ranges and takes STEPS concentration steps: in each, every row's distance is
+    binned (8 bins per doubling), the bins' counts and moments are summed per source with map-side combine, and the
+    estimates of the nearest share H come from a source's bins alone, of which there are at most some hundreds. No source's rows
+    ever meet in one task. The same bins, summed further, give the estimates per language and of all rows, and each
+    estimate is mixed with PRIOR rows like those of the level above: sources of any size are judged in the same way, large ones by
+    themselves, small ones by their language, and next to nothing is rejected where there are only a few rows in all. The consistency
     factor, over or under 1, brings the median distance to that of a chi-square variable of as many dimensions as spread.
     """
-    sizes = rows.where("v is not null").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    pooled = sizes.where(F.col("n") < LEAST_ROWS).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = pooled.where(F.col("n_lang") < LEAST_ROWS).agg(F.coalesce(F.sum("n_lang"), F.lit(0)).alias("n_rest"))
-    n_rest = rest.first()[0]
-    sep = F.lit("\x1f")
-    cell = F.when(F.col("n") >= LEAST_ROWS, F.concat("lang", sep, "source")).when(F.col("n_lang") >= LEAST_ROWS, F.concat("lang", sep, sep)).when(
-        F.lit(n_rest) >= LEAST_ROWS, F.concat(sep, sep))
-    cells = settled(sizes.join(pooled, "lang", "left").select("lang", "source", cell.alias("cell")))
+    key = ["lang", "source"]
+    usable = rows.where("v is not null").select(*key, "v")
+    bins = usable.select(*key, F.posexplode("v").alias("dim", "x")).groupBy(*key, "dim", F.floor(F.col("x") / 0.02).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    moments = settled(_per_level(bins, ["dim", "bin"]).groupBy(*key).applyInPandas(_start, MOMENTS))
     # a few numbers per source: sent to every task while they are few, so that a hot source isn't dealt to one; else Spark joins and splits
-    small = (lambda df: F.broadcast(df)) if cells.count() <= BROADCAST_CELLS else (lambda df: df)
-    mine = settled(rows.join(small(cells), ["lang", "source"], "left"))
-    usable = mine.where("cell is not null and v is not null").select("cell", "v")
-    bins = usable.select("cell", F.posexplode("v").alias("dim", "x")).groupBy("cell", "dim", F.floor(F.col("x") / 0.02).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    schema = "mean array<double>, inverse array<double>, factor double, free double, cell string"
-    state = settled(bins.groupBy("cell").applyInPandas(_start, schema))
-    sums = [F.count(F.lit(1)).alias("n"), F.first("factor").alias("factor"), F.first("free").alias("free"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(P)],
+    small = (lambda df: F.broadcast(df)) if moments.count() <= BROADCAST_CELLS else (lambda df: df)
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("log_factor").alias("log_factor"), F.sum("free").alias("free"), *[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(P)],
             *[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"q{i}_{j}") for i in range(P) for j in range(i, P)]]
     for _ in range(STEPS):
-        near = usable.join(small(state), "cell").withColumn("bin", F.floor(F.log2(F.greatest(_distance("v", "mean", "inverse"), F.lit(2.0**-10))) * 8))
-        state = settled(near.groupBy("cell", "bin").agg(*sums).groupBy("cell").applyInPandas(_step, schema))
-    return mine.join(small(state), "cell", "left").withColumn("d2", _distance("v", "mean", "inverse")).drop("cell", "mean", "inverse", "factor", "free", "v")
+        near = usable.join(small(_state(moments)), key).withColumn("bin", F.floor(F.log2(F.greatest(_distance("v", "mean", "inverse"), F.lit(2.0**-10))) * 8))
+        moments = settled(_per_level(near.groupBy(*key, "bin").agg(*sums), ["bin"]).groupBy(*key).applyInPandas(_step, MOMENTS))
+    return rows.join(small(_state(moments)), key, "left").withColumn("d2", _distance("v", "mean", "inverse")).drop("mean", "inverse", "log_factor", "free", "v")
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, the counts, base_failed, kept, d2): kept unless a base limit fails or the distance is over the chi-square bound.
 
     ``docs`` has doc_id, text, lang, source. Null or empty text: no words, so base_failed. Null lang or source: the empty
-    string. Repeated rows stay and count as often as they occur. Fewer rows than LEAST_ROWS in all: no outlier verdict.
+    string. Repeated rows stay and count as often as they occur. A few rows in all: judged by wide spreads, see ``PRIOR``.
     Empty table: empty result. Other columns are ignored.
     """
     out = robust_distances(settled(measured(docs)))
