@@ -25,11 +25,15 @@ def rollup_org_day(t: Tables) -> DataFrame:
 def rollup_store_day(t: Tables) -> DataFrame:
     seq = sequenced(t, t.snapshots, availability=True)
     failed = t.runs.where(F.col("status") == "failed").groupBy("store_id", F.to_date("created_at").alias("bucket_date")).agg(F.count(F.lit(1)).alias("failed"))
-    g = seq.groupBy("org_id", "store_id", DAY()).agg(
-        F.count_distinct("listing_id").alias("products_count"), S.mean("price").alias("avg_price"), S.rnd(F.avg(F.when(F.col("price").isNotNull(), discount0())), 2).alias("avg_discount"),
+    # one row per listing and day first, so listings are counted without telling raw rows apart
+    per = seq.groupBy("org_id", "store_id", DAY(), "listing_id").agg(
+        F.sum("price").alias("p"), F.count("price").alias("pn"), F.sum(F.when(F.col("price").isNotNull(), discount0())).alias("d"),
         n_if(changed()).alias("changes"), n_if(dropped()).alias("drops"), n_if(changed("availability", "previous_availability")).alias("stock_changes"),
-        n_if(F.col("old_price") > F.col("price")).alias("discounted"), S.rnd(S.dbl(F.sum("confidence")) / F.count("confidence"), 3).alias("conf"),
-        n_if(F.col("status") == "ok").alias("ok"), F.count(F.lit(1)).alias("n"),
+        F.sum("confidence").alias("c"), F.count("confidence").alias("cn"), n_if(F.col("status") == "ok").alias("ok"), F.count(F.lit(1)).alias("n"))
+    g = per.groupBy("org_id", "store_id", "bucket_date").agg(
+        F.count(F.lit(1)).alias("products_count"), S.rnd(S.dbl(F.sum("p")) / F.sum("pn"), 2).alias("avg_price"), S.rnd(F.sum("d") / F.sum("pn"), 2).alias("avg_discount"),
+        F.sum("changes").alias("changes"), F.sum("drops").alias("drops"), F.sum("stock_changes").alias("stock_changes"),
+        S.rnd(S.dbl(F.sum("c")) / F.sum("cn"), 3).alias("conf"), F.sum("ok").alias("ok"), F.sum("n").alias("n"),
     ).join(failed, ["store_id", "bucket_date"], "left")
     return g.select(
         "org_id", "store_id", "bucket_date", "products_count", "avg_price", F.coalesce("avg_discount", F.lit(0.0)).alias("avg_discount"),
@@ -41,10 +45,13 @@ def rollup_category_day(t: Tables) -> DataFrame:
     own = t.my_products.select("product_id", "category_id")
     cat = t.categories.select("category_id", F.col("name").alias("category_name"))
     dims = confirmed_matches(t).join(own, "product_id").join(cat, "category_id").select("listing_id", "product_id", "category_name")
-    seq = sequenced(t, t.snapshots).join(dims, "listing_id", "left").withColumn("category_name", F.coalesce("category_name", F.lit("Uncategorized")))
+    per = sequenced(t, t.snapshots).groupBy("org_id", DAY(), "listing_id").agg(
+        F.sum("price").alias("p"), F.count("price").alias("pn"), F.min("price").alias("lo"), F.max("price").alias("hi"), n_if(changed()).alias("changes"))
+    per = per.join(dims, "listing_id", "left").withColumn("category_name", F.coalesce("category_name", F.lit("Uncategorized")))
     key = F.coalesce(F.concat(F.lit("p"), F.col("product_id").cast("string")), F.concat(F.lit("l"), F.col("listing_id").cast("string")))
-    g = seq.groupBy("org_id", "category_name", DAY()).agg(
-        F.count_distinct(key).alias("products_count"), S.mean("price").alias("avg_price"), F.min("price").alias("lo"), F.max("price").alias("hi"), n_if(changed()).alias("changes"))
+    g = per.groupBy("org_id", "category_name", "bucket_date").agg(
+        F.count_distinct(key).alias("products_count"), S.rnd(S.dbl(F.sum("p")) / F.sum("pn"), 2).alias("avg_price"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.sum("changes").alias("changes"))
     return g.select("org_id", "category_name", "bucket_date", "products_count", "avg_price", S.category_volatility("lo", "hi", "avg_price", "changes").alias("volatility_score"))
 
 
