@@ -102,7 +102,7 @@ def listings(t, raw) -> DataFrame:
     )
     part = raw("part").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand")
     pid = F.col("part_id")
-    joined = state.withColumn("part_id", F.floor(F.col("listing_id") / 5)).join(part, "part_id", "left")
+    joined = state.withColumn("part_id", F.floor(F.col("listing_id") / 5)).join(part.hint("merge"), "part_id", "left")
     lid = F.col("listing_id").cast("string")
     url = F.concat(
         F.lit("https://store"), F.col("store_id").cast("string"), F.lit(".example/p/"),
