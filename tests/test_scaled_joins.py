@@ -39,6 +39,20 @@ def _changes(spark):
     return df.withColumns(money | {"availability": F.lit("in_stock"), "prev_availability": F.lit("in_stock"), "currency": F.lit("EUR"), "label": F.lit("x")})
 
 
+def test_only_events_near_the_own_price_meet_rules(spark):
+    t = _tables(spark)
+    events = AL.candidate_events(_changes(spark))
+    near = AL.own_price_events(events, t)
+    assert {(r["snapshot_id"], r["own_id"], r["type"][:2]) for r in near.collect()} == {
+        (1, 100, "co"), (1, 101, "co"), (2, 101, "co"), (4, 101, "co"), (1, 100, "my"), (1, 101, "my"), (2, 101, "my"), (4, 101, "my"), (7, 100, "co"), (7, 101, "co")}
+    got = sorted((r["rule_id"], r["snapshot_id"], r["title"]) for r in AL.own_price_alerts(events, t).collect())
+    cheap = lambda who: f"Competitor cheaper than own {who}"
+    above = lambda who: f"own {who} is above market"
+    assert got == sorted([
+        (1, 1, cheap("a")), (1, 2, cheap("b")), (1, 4, cheap("b")), (2, 1, cheap("a")), (2, 2, cheap("b")), (3, 4, cheap("b")), (4, 4, cheap("b")), (5, 1, cheap("a")), (5, 2, cheap("b")),
+        (6, 1, cheap("a")), (6, 2, cheap("b")), (7, 1, above("a")), (7, 2, above("b")), (8, 1, above("b")), (12, 1, above("a")), (12, 2, above("b")), (12, 4, above("b"))])
+
+
 def test_own_products_are_merged_however_small_their_file(spark):
     t = _tables(spark)
     rows = with_confirmed_match(spark.createDataFrame([(10,), (12,)], "listing_id long"), t)
