@@ -39,6 +39,14 @@ def _changes(spark):
     return df.withColumns(money | {"availability": F.lit("in_stock"), "prev_availability": F.lit("in_stock"), "currency": F.lit("EUR"), "label": F.lit("x")})
 
 
+def test_counts_per_rule_equal_the_joined_rows(spark):
+    t = _tables(spark)
+    events = AL.candidate_events(_changes(spark))
+    want = {(r["rule_id"], r["type"], r["n"]) for r in AL.applicable(t.alert_rules, events, t).groupBy("rule_id", "type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = AL.applicable_counts(t.alert_rules, events, t).collect()
+    assert len(want) >= 9 and len(got) == len(want) and {(r["rule_id"], r["type"], r["n"]) for r in got} == want
+
+
 def test_only_events_near_the_own_price_meet_rules(spark):
     t = _tables(spark)
     events = AL.candidate_events(_changes(spark))
