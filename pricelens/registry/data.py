@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..plans import dashboard as D
 from ..plans import marts as MA
+from ..session import spread
 from ..sources import catalog as C
 from ..sources import exports as EX
 from ..sources import imports as IM
@@ -137,7 +138,7 @@ def _reports(t):
     prod = F.struct("url", F.col("normalized_url").alias("normalizedUrl"), "title", S.dbl("price").alias("price"), F.col("category_url").alias("categoryUrl"))
     cat = F.struct(F.col("category_url").alias("url"), F.col("category_path").alias("name"), F.col("category_path").alias("path"))
     # a report holds the few listings of one part
-    g = d.groupBy("run_id").agg(F.collect_list(prod).alias("products"), F.collect_set(cat).alias("categories"), F.min("store_id").alias("store_id"))
+    g = spread(d, "run_id").groupBy("run_id").agg(F.collect_list(prod).alias("products"), F.collect_set(cat).alias("categories"), F.min("store_id").alias("store_id"))
     page = F.transform("products", lambda p: F.struct(p["url"].alias("url"), F.lit(1).alias("depth")))
     logs = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.struct(F.lit("info").alias("level"), F.concat(F.lit("step "), i.cast("string")).alias("message")))
     return g.select(F.to_json(F.struct("run_id", "store_id", page.alias("pages"), "categories", "products", logs.alias("logs"))).alias("report"))

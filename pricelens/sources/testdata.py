@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .catalog import Tables
 
 _AS_OF: dict[tuple[str, str], object] = {}
@@ -406,7 +407,7 @@ def product_pages(t, raw) -> DataFrame:
     """One product page per listing, carrying its data as JSON-LD, meta tags, an embedded payload or plain text."""
     from .productpages import product_page_html
 
-    return product_page_html(t.listings)
+    return product_page_html(spread(t.listings, "listing_id"))
 
 
 def tracking_source(t, raw) -> DataFrame:
