@@ -1,6 +1,7 @@
 """Sources, sinks, marts and scalar functions (a01-a17, b14, d29-d35, i01-i13, i19-i29, p01-p05)."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -140,8 +141,10 @@ def _reports(t):
     # a report holds the few listings of one part
     g = spread(d, "run_id").groupBy("run_id").agg(F.collect_list(prod).alias("products"), F.collect_set(cat).alias("categories"), F.min("store_id").alias("store_id"))
     page = F.transform("products", lambda p: F.struct(p["url"].alias("url"), F.lit(1).alias("depth")))
-    logs = F.transform(F.sequence(F.lit(1), F.lit(600)), lambda i: F.struct(F.lit("info").alias("level"), F.concat(F.lit("step "), i.cast("string")).alias("message")))
-    return g.select(F.to_json(F.struct("run_id", "store_id", page.alias("pages"), "categories", "products", logs.alias("logs"))).alias("report"))
+    # every report has the same log, so its text is written once and not by every row
+    logs = F.lit(json.dumps([{"level": "info", "message": f"step {i}"} for i in range(1, 601)], separators=(",", ":")))
+    own = F.to_json(F.struct("run_id", "store_id", page.alias("pages"), "categories", "products"))
+    return S.computed(g, [], report=S.let(own, lambda x: F.concat(F.substr(x, F.lit(1), F.length(x) - 1), F.lit(',"logs":'), logs, F.lit("}"))))
 
 
 @query("a08_flatten_discovery_report", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
 from ..functions import urls as U
 from ..operators.ordered import top_k
 from ..operators.writes import append_if_absent, first_per_key
@@ -59,24 +60,30 @@ def promote(discovered: DataFrame, existing: DataFrame) -> tuple[DataFrame, Data
     return new, counts
 
 
-REPORT_SCHEMA = (
-    "run_id BIGINT, store_id BIGINT, pages ARRAY<STRUCT<url: STRING, normalizedUrl: STRING, pageType: STRING, status: STRING, depth: INT>>, "
-    "categories ARRAY<STRUCT<url: STRING, name: STRING, path: STRING, productsFound: INT>>, "
-    "products ARRAY<STRUCT<url: STRING, normalizedUrl: STRING, title: STRING, price: DOUBLE, categoryUrl: STRING>>, "
-    "logs ARRAY<STRUCT<level: STRING, message: STRING>>"
-)
+REPORT_SCHEMA = {
+    "run_id": "BIGINT", "store_id": "BIGINT", "pages": "ARRAY<STRUCT<url: STRING, normalizedUrl: STRING, pageType: STRING, status: STRING, depth: INT>>",
+    "categories": "ARRAY<STRUCT<url: STRING, name: STRING, path: STRING, productsFound: INT>>",
+    "products": "ARRAY<STRUCT<url: STRING, normalizedUrl: STRING, title: STRING, price: DOUBLE, categoryUrl: STRING>>",
+    "logs": "ARRAY<STRUCT<level: STRING, message: STRING>>",
+}
+
+
+def _report_fields(reports: DataFrame, column: str, *names: str) -> DataFrame:
+    """Some fields of every report: each document is parsed once, and nothing else of it is kept."""
+    schema = ", ".join(f"{n} {REPORT_SCHEMA[n]}" for n in names)
+    return S.computed(reports, [], r=F.from_json(column, schema)).select("r.*")
 
 
 def flatten_report(reports: DataFrame, column: str = "report", keep_logs: int | None = None) -> dict[str, DataFrame]:
     """Nested crawl reports (one JSON document per run) as four tables; a category's id follows from run and URL."""
-    r = reports.select(F.from_json(column, REPORT_SCHEMA).alias("r")).select("r.*")
-    pages = r.select("run_id", F.inline("pages")).select("run_id", "url", F.coalesce("normalizedUrl", "url").alias("normalized_url"), F.coalesce("pageType", F.lit("unknown")).alias("page_type"),
+    of = lambda *names: _report_fields(reports, column, *names)
+    pages = of("run_id", "pages").select("run_id", F.inline("pages")).select("run_id", "url", F.coalesce("normalizedUrl", "url").alias("normalized_url"), F.coalesce("pageType", F.lit("unknown")).alias("page_type"),
                                                          F.coalesce("status", F.lit("crawled")).alias("status"), F.coalesce("depth", F.lit(0)).alias("depth"))
-    cats = r.select("run_id", "store_id", F.inline("categories")).select("run_id", "store_id", "url", F.coalesce("name", "url").alias("name"), "path", F.coalesce("productsFound", F.lit(0)).alias("products_found"))
+    cats = of("run_id", "store_id", "categories").select("run_id", "store_id", F.inline("categories")).select("run_id", "store_id", "url", F.coalesce("name", "url").alias("name"), "path", F.coalesce("productsFound", F.lit(0)).alias("products_found"))
     cats = cats.dropDuplicates(["run_id", "url"]).withColumn("category_id", F.concat_ws("|", F.col("run_id").cast("string"), "url"))
-    prods = r.select("run_id", "store_id", F.inline("products")).join(cats.select("run_id", F.col("url").alias("categoryUrl"), "category_id"), ["run_id", "categoryUrl"], "left")
+    prods = of("run_id", "store_id", "products").select("run_id", "store_id", F.inline("products")).join(cats.select("run_id", F.col("url").alias("categoryUrl"), "category_id"), ["run_id", "categoryUrl"], "left")
     prods = prods.select("run_id", "store_id", "url", F.coalesce("normalizedUrl", "url").alias("normalized_url"), "title", F.round("price", 2).cast("decimal(12,2)").alias("price"), "category_id")
-    logs = r.select("run_id", F.posexplode("logs" if keep_logs is None else F.slice("logs", F.greatest(F.size("logs") - keep_logs + 1, F.lit(1)), keep_logs))).select("run_id", F.col("pos").alias("position"), F.coalesce("col.level", F.lit("info")).alias("level"), F.coalesce("col.message", F.lit("")).alias("message"))
+    logs = of("run_id", "logs").select("run_id", F.posexplode("logs" if keep_logs is None else F.slice("logs", F.greatest(F.size("logs") - keep_logs + 1, F.lit(1)), keep_logs))).select("run_id", F.col("pos").alias("position"), F.coalesce("col.level", F.lit("info")).alias("level"), F.coalesce("col.message", F.lit("")).alias("message"))
     return {"pages": pages, "categories": cats, "products": prods, "logs": logs}
 
 

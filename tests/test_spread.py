@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricelens.plans import pages as PG
 from pricelens.registry.data import _reports
 from pricelens.session import spread
+from pricelens.sources import imports as IM
 from pricelens.sources import testdata
 from pricelens.sources.catalog import Tables
 
@@ -49,3 +50,23 @@ def test_elements_are_found_wherever_their_attribute_stands(spark):
     pages = spark.createDataFrame([(k, "https://shop.example/p", d) for k, d in enumerate(docs)], "page_id long, url string, html string")
     got = {r["page_id"]: r["heur"]["price"] if r["heur"] else None for r in PG.readings(pages, ("heur",)).collect()}
     assert got == {0: 7.5, 1: 8.5, 2: None, 3: None, 4: 1234.5, 5: None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_report_is_parsed_once_for_a_table(spark):
+    report = '{"run_id":1,"store_id":2,"pages":[],"categories":[{"url":"c","name":"C"}],"products":[{"url":"u","title":"t","price":1.005,"categoryUrl":"c"},{"url":"v","categoryUrl":"d"}],"logs":[{"message":"m"}]}'
+    docs = spark.createDataFrame([(report,), ("{",), (None,), ('{"run_id":3}',)], "report string").repartition(2)
+    tables = IM.flatten_report(docs)
+    assert {n: _plan(t).count("from_json(") for n, t in tables.items()} == {"pages": 1, "categories": 1, "products": 2, "logs": 1}
+    assert sorted((r["run_id"], r["url"], r["title"], r["category_id"]) for r in tables["products"].collect()) == [(1, "u", "t", "1|c"), (1, "v", None, None)]
+    assert [tuple(r) for r in tables["logs"].collect()] == [(1, 0, "info", "m")]
+
+
+def test_reports_are_whole_documents(spark):
+    text = [r["report"] for r in _reports(_tables(spark)).collect()]
+    whole = IM.flatten_report(spark.createDataFrame([(x,) for x in text], "report string"))
+    assert {n: t.count() for n, t in whole.items()} == {"pages": 400, "categories": 80 * 3, "products": 400, "logs": 80 * 600}
+    assert all(x.endswith('{"level":"info","message":"step 600"}]}') for x in text)
