@@ -45,12 +45,15 @@ def any_of(patterns: list[str]) -> str:
     return ascii_edges("(?iu)" + "|".join(f"(?:{p})" for p in patterns))
 
 
+def _place(i: int, status: str):
+    return lambda pos: F.when(pos > 0, F.struct(pos.alias("pos"), F.lit(i).alias("i"), F.lit(status).alias("status")))
+
+
 def first_status(text: Column) -> Column:
     """Status whose phrase stands first in the text."""
     found = []
     for i, (status, patterns) in enumerate(STATUS_PHRASES):
-        pos = F.regexp_instr(text, F.lit(any_of(patterns)))
-        found.append(F.when(pos > 0, F.struct(pos.alias("pos"), F.lit(i).alias("i"), F.lit(status).alias("status"))))
+        found.append(S.let(F.regexp_instr(text, F.lit(any_of(patterns))), _place(i, status)))
     return F.array_min(F.array_compact(F.array(*found)))["status"]
 
 
@@ -58,13 +61,15 @@ def classify_tracking(pages: DataFrame) -> DataFrame:
     """``pages``: tracking_number, text.  Adds state and status_hint."""
     txt = F.trim("text")
     number = F.lower(F.trim("tracking_number"))
-    hint = first_status(txt)
-    state = (
+    early = (
         F.when(txt.rlike(any_of(CAPTCHA)), "captcha").when(txt.rlike(any_of(BLOCKED)), "blocked").when(txt.rlike(any_of(PAYWALL)), "paywall")
         .when(txt.rlike(any_of(NOT_FOUND)), "not_found").when((number != "") & ~F.contains(F.lower(txt), number), "irrelevant")
-        .when(hint.isNotNull(), "success").otherwise("irrelevant")
     )
-    return pages.withColumn("state", state).withColumn("status_hint", F.when(F.col("state") == "success", hint))
+    # the phrases are searched once, and only in texts that nothing before decides
+    told = S.let(early, lambda e: F.struct(e.alias("early"), F.when(e.isNull(), first_status(txt)).alias("hint")))
+    read = S.computed(pages, [c for c in pages.columns if c not in ("state", "status_hint")], _told=told)
+    state = F.coalesce("_told.early", F.when(F.col("_told.hint").isNotNull(), "success").otherwise("irrelevant"))
+    return read.select("*", state.alias("state"), F.col("_told.hint").alias("status_hint")).drop("_told")
 
 
 def rank_of(status: Column) -> Column:

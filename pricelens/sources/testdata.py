@@ -426,7 +426,8 @@ def tracking_pages(t, raw) -> DataFrame:
         "Label created", "Tracking number not found", "Please verify you are human", "Access denied", "Upgrade your plan", "nothing here",
     ]
     number = F.concat(F.lit("1Z"), F.lpad(k.cast("string"), 16, "0"))
-    return raw("documents").select(
+    # a file may be one split, and every page needs much work
+    return spread(raw("documents").select("doc_id", "text"), "doc_id", "text").select(
         F.col("doc_id").alias("page_id"), _pick(PROVIDERS, k % 6).alias("provider"), number.alias("tracking_number"),
         F.concat(
             F.col("text"), F.lit("\n\n"), F.when(k % 13 == 12, "no number").otherwise(F.lower(number)), F.lit("\n"),

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pricelens.plans import pages as PG
+from pricelens.plans import shipments as SH
 from pricelens.registry.data import _reports
 from pricelens.session import spread
 from pricelens.sources import imports as IM
@@ -70,3 +71,14 @@ def test_reports_are_whole_documents(spark):
     whole = IM.flatten_report(spark.createDataFrame([(x,) for x in text], "report string"))
     assert {n: t.count() for n, t in whole.items()} == {"pages": 400, "categories": 80 * 3, "products": 400, "logs": 80 * 600}
     assert all(x.endswith('{"level":"info","message":"step 600"}]}') for x in text)
+
+
+def test_tracking_pages_meet_many_tasks_and_are_searched_once(spark):
+    docs = spark.createDataFrame([(k, f"page {k}") for k in range(400)] + [(None, None), (None, None)], "doc_id long, text string").coalesce(1)
+    pages = testdata.tracking_pages(None, lambda name: docs)
+    assert _filled(pages) == (8, 402)
+    assert _plan(SH.classify_tracking(pages)).count("regexp_instr(") == len(SH.STATUS_PHRASES)
+    rows = [(1, "N1", "n1 label created, then Delivered"), (2, "N1", "n1 captcha delivered"), (3, "N1", "delivered"), (4, "", "x"), (5, None, "In transit"), (6, "N1", None), (7, "N1", "n1")]
+    got = SH.classify_tracking(spark.createDataFrame(rows, "page_id long, tracking_number string, text string")).select("page_id", "state", "status_hint")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "success", "registered"), (2, "captcha", None), (3, "irrelevant", None), (4, "irrelevant", None), (5, "success", "in_transit"), (6, "irrelevant", None), (7, "irrelevant", None)]
