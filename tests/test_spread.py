@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pricelens.plans import pages as PG
 from pricelens.plans import shipments as SH
 from pricelens.registry.data import _reports
+from pricelens.registry.streams import Feed
 from pricelens.session import spread
 from pricelens.sources import imports as IM
 from pricelens.sources import testdata
+from pricelens.sources.folders import Folders
 from pricelens.sources.catalog import Tables
 
 LISTING = "listing_id long, store_id long, url string, title string, brand string, sku string, gtin string, last_snapshot_price decimal(12,2), last_snapshot_availability string"
@@ -82,3 +84,16 @@ def test_tracking_pages_meet_many_tasks_and_are_searched_once(spark):
     got = SH.classify_tracking(spark.createDataFrame(rows, "page_id long, tracking_number string, text string")).select("page_id", "state", "status_hint")
     assert sorted(tuple(r) for r in got.collect()) == [
         (1, "success", "registered"), (2, "captcha", None), (3, "irrelevant", None), (4, "irrelevant", None), (5, "success", "in_transit"), (6, "irrelevant", None), (7, "irrelevant", None)]
+
+
+def test_a_part_arrives_in_many_files_and_is_one_batch(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, at + dt.timedelta(hours=k)) for k in range(400)] + [(400, None)], "k long, ts timestamp").repartition(4)
+    feed = Feed(Tables(spark, {}.__getitem__, at))
+    stream = feed.arriving(rows, "ts")
+    assert len([n for n in Folders(spark).names(f"{feed.path}/in") if n.endswith(".parquet")]) == 4
+    seen = []
+    feed.run(stream, lambda df, epoch: seen.append((epoch, sorted(r["k"] for r in df.collect()))))
+    Folders(spark).delete(feed.path)
+    assert [e for e, _ in seen] == [0, 1, 2, 3] and sorted(k for _, b in seen for k in b) == list(range(401))
+    assert all(max(set(a) - {400}) < min(b) for (_, a), (_, b) in zip(seen, seen[1:]))
