@@ -30,23 +30,38 @@ def listing_entity(c="listing_id") -> Column:
     return F.concat(F.lit("l"), F.col(c).cast("string"))
 
 
-def edges(t: Tables) -> DataFrame:
-    """(entity, listing) pairs: confirmed matches, and every other listing as its own entity."""
+def edges(t: Tables, own: DataFrame | None = None) -> DataFrame:
+    """(entity, listing) pairs: confirmed matches, and every other listing as its own entity.
+
+    Columns of ``own`` come by product id, null where there is none. Own products are merged, never sent whole to every task, and only
+    with matched listings: all others would meet in the one task of the null id.
+    """
     ok = t.matches.where(F.col("status") == "confirmed").select("listing_id", "org_id", "product_id").distinct()
     matched = ok.select("org_id", product_entity().alias("entity_id"), "product_id", "listing_id")
+    if own is not None:
+        matched = matched.join(own.hint("merge"), "product_id", "left")
     alone = t.listings.select("listing_id", "org_id").join(ok.select("listing_id"), "listing_id", "left_anti")
     alone = alone.select("org_id", listing_entity().alias("entity_id"), F.lit(None).cast("bigint").alias("product_id"), "listing_id")
-    return matched.unionByName(alone)
+    return matched.unionByName(alone, allowMissingColumns=True)
+
 
+SEEN = ["price", "old_price", "currency", "availability", "image_url", "confidence", "source", "shipping_text", "rating", "scraped_at"]
 
-def members(t: Tables) -> DataFrame:
-    """One row per (entity, listing) with the current state of the listing."""
-    newest = latest_per_key(t.snapshots, ["listing_id"], ["price", "old_price", "currency", "availability", "image_url", "confidence", "source", "shipping_text", "rating", "scraped_at"])
-    newest = newest.select("listing_id", *[F.col(c).alias(f"n_{c}") for c in newest.columns if c != "listing_id"])
+
+def members(t: Tables, seen: list[str] | None = None) -> DataFrame:
+    """One row per (entity, listing) with the current state of the listing.
+
+    ``seen`` names the columns of the newest observation that the caller reads (all without it): the row is picked as one struct, from
+    which Spark can't drop fields. Others are null, or the listing's own.
+    """
+    wanted = SEEN if seen is None else seen
+    newest = latest_per_key(t.snapshots, ["listing_id"], wanted)
+    blanks = {f"n_{c}": F.lit(None).cast(t.snapshots.schema[c].dataType) for c in SEEN if c not in wanted}
+    newest = newest.select("listing_id", *[F.col(c).alias(f"n_{c}") for c in wanted]).withColumns(blanks)
     own = t.my_products.select("product_id", F.col("currency").alias("own_currency"))
     st = t.stores.select("store_id", F.col("name").alias("store_name"), "domain")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    j = edges(t).join(t.listings.drop("org_id"), "listing_id").join(newest, "listing_id", "left").join(st, "store_id").join(own, "product_id", "left")
+    j = edges(t, own).join(t.listings.drop("org_id"), "listing_id").join(newest, "listing_id", "left").join(st, "store_id")
     return j.select(
         "org_id", "entity_id", "product_id", "listing_id", "store_id", "store_name", "domain", F.coalesce("title", "url").alias("title"),
         F.col("title").alias("raw_title"), "url", "brand", "sku", "gtin", F.coalesce(blank("image_url"), blank("n_image_url")).alias("image_url"),
@@ -308,7 +323,8 @@ def price_position(m: DataFrame) -> DataFrame:
 
 def product_events(t: Tables, k: int = 80, days: int | None = TIMELINE_DAYS) -> DataFrame:
     tl = timeline(t, days, previous=True)
-    cut = lambda c: F.format_string("%.2f", S.dbl(c))
+    # the same two digits as a formatted double, without a formatter per row
+    cut = lambda c: F.col(c).cast("decimal(38,2)").cast("string")
     moved = (F.col("price") != F.col("previous_price"))
     flipped = F.col("availability") != F.col("previous_availability")
     name = F.col("store_name")
@@ -319,7 +335,7 @@ def product_events(t: Tables, k: int = 80, days: int | None = TIMELINE_DAYS) ->
         F.when(F.col("confidence") < 0.65, ev("selector_issue", F.concat(name, F.lit(": low extraction confidence")), F.lit("warning"))),
     ))
     base = tl.select("org_id", "entity_id", "listing_id", F.col("scraped_at").alias("event_at"), "snapshot_id", F.inline(found))
-    marks = members(t).select("org_id", "entity_id", "listing_id", F.col("seen_at").alias("event_at"), F.lit(0).cast("bigint").alias("snapshot_id"), F.lit("snapshot").alias("type"),
+    marks = members(t, ["price", "scraped_at"]).select("org_id", "entity_id", "listing_id", F.col("seen_at").alias("event_at"), F.lit(0).cast("bigint").alias("snapshot_id"), F.lit("snapshot").alias("type"),
                               F.concat(name, F.lit(": latest snapshot")).alias("label"), F.when(F.col("price").isNull(), "warning").otherwise("neutral").alias("status"))
     order = [F.desc("event_at"), F.asc("type"), F.asc("listing_id"), F.asc("snapshot_id")]
     return top_k(base.unionByName(marks), ["entity_id"], order, k)
