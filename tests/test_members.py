@@ -57,6 +57,15 @@ def test_only_the_named_columns_are_collected(spark):
     assert picked(few, "price") and not picked(few, "confidence") and picked(every, "confidence")
 
 
+def test_keys_of_entities_need_no_members(spark):
+    t = _tables(spark)
+    keys, every = P.product_entities(t, False, ["entity_id", "cluster_key"]), P.product_entities(t, False)
+    key = lambda df: sorted((r["entity_id"], r["cluster_key"]) for r in df.collect())
+    assert key(keys) == key(every.select("entity_id", "cluster_key")) and len(key(keys)) == 4
+    assert "max_by(" not in _joins(keys) and "max_by(" in _joins(every)
+    assert P.product_entities(t, False, ["entity_id", "volatility"]).columns == ["entity_id", "volatility"]
+
+
 def test_events_show_two_digits_as_a_formatted_double(spark):
     t = _tables(spark)
     events = P.product_events(t, days=None)
