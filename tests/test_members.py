@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from pricelens.operators.medians import exact_medians
 from pricelens.plans import products as P
 from pricelens.sources.catalog import Tables
 
@@ -72,3 +73,10 @@ def test_events_show_two_digits_as_a_formatted_double(spark):
     got = {(r["listing_id"], r["label"]) for r in events.where(F.col("type") == "price_changed").collect()}
     assert got == {(10, "shop: 100.00 -> 99.50"), (12, "shop: 1234567.89 -> 0.05")}
     assert "format_string" not in events._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counted_values_are_merged_with_the_middle_bins(spark):
+    rows = [(k, float(v)) for k in (0, 1, None) for v in (1, 2, 2, 9, 30)] + [(5, None)]
+    df = exact_medians(spark.createDataFrame(rows, "org_id long, price double"), ["org_id"], "price", "m")
+    assert {(r["org_id"], r["m"]) for r in df.collect()} == {(0, 2.0), (1, 2.0), (None, 2.0)}
+    assert "BroadcastHashJoin" not in _joins(df) and "SortMergeJoin [_key" in _joins(df)
